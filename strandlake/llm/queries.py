@@ -32,3 +32,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = ["assign", "access", "hex"]
     return _counted(scan_secrets(common.table(spark, sf_dir, "documents")), [*base, "entropy"], base)
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in full sequences of 256 to 2048 tokens; pieces with a checksum of their ids."""
+    import public_tokenizers
+
+    from .packing import pack
+
+    pieces = pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"
+    )
