@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +146,9 @@ class TokenTable:
         self.counts = np.concatenate([self.counts, np.zeros(len(words), np.int64)])
         self.used += len(flat)
 
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+
     def _halve(self) -> None:
         """Keeps the half that was seen most."""
         keep = np.zeros(len(self.lengths), bool)
@@ -163,13 +166,15 @@ class TokenTable:
     def encode(self, texts: pa.Array, last: int | None = None) -> list[np.ndarray]:
         """The ids of each text, and the id ``last`` after them if given."""
         at, distinct, word_ends = split(texts)
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > self.limit:
+        place = self._places(distinct)
+        fresh = np.flatnonzero(place < 0)
+        if len(self.known) + len(fresh) > self.limit:
             self._halve()
-            new = [w for w in distinct if w not in self.known]
-        if new:
-            self._add(new)
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+            place = self._places(distinct)
+            fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            place[fresh] = np.arange(len(self.lengths), len(self.lengths) + len(fresh))
+            self._add([distinct[i] for i in fresh.tolist()])
         self.counts[place] += np.bincount(at, minlength=len(distinct))
         place = place[at]
         lengths = self.lengths[place]
