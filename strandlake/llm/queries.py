@@ -53,3 +53,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_duplicates
 
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def _remainder(id_col, of: int):
+    return F.crc32(id_col.cast("string").cast("binary")) % of
+
+
+def _predicted(scored: DataFrame, held_out, least: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows with crc32(doc_id) mod 3 = 1 are held out from learning."""
+    from . import toxicity
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, trainable=lambda x: _remainder(x, 3) != 1)
+    return _predicted(toxicity.score(docs, model), _remainder(F.col("doc_id"), 3) == 1, 0.7)
