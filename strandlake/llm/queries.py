@@ -71,3 +71,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, trainable=lambda x: _remainder(x, 3) != 1)
     return _predicted(toxicity.score(docs, model), _remainder(F.col("doc_id"), 3) == 1, 0.7)
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document holds, exactly or with a few edits."""
+    from .decontamination import find_leaks
+
+    return find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
