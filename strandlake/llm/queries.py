@@ -79,3 +79,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_leaks
 
     return find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; rows with crc32(doc_id) mod 5 = 0 are held out from learning."""
+    from . import quality
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, trainable=lambda x: _remainder(x, 5) != 0)
+    return _predicted(quality.score(docs, model), _remainder(F.col("doc_id"), 5) == 0, 0.3)
