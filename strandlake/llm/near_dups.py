@@ -4,12 +4,14 @@
    form a class (64-bit hash of the set); all later steps work on classes.
 2. Bands that hold two classes or more are found by a pre-aggregated minimum and maximum, so a
    band shared by very many documents costs one row for each map task.
-3. Each class is verified against the centre (least class) that it shares most bands with. Links
-   become components; this joins most of any large group of copies by as many comparisons as it has members.
+3. The centre of a band is the class that meets most others over all its bands. Each class is verified
+   against two centres: the widest one, and the one that it shares most bands with. Links become components;
+   this joins most of any large group of copies by twice as many comparisons as it has members.
 4. What remains are pairs of one band in different components. Shingles held by one candidate only
-   can't be shared, so a class of n shingles of which u are held elsewhere has at most
-   min(u) / (n + n' - min(u)) in common with any other. That exact bound leaves few pairs; in each band
-   the members outside the band's largest component meet the rest, and what the bound allows is verified.
+   can't be shared: of two classes with u and u' shingles held elsewhere no more than min(u, u') are common.
+   If both were tested against the same centre, no more than the smaller number shared with it plus the
+   smaller number held elsewhere outside it. These exact bounds leave few pairs; in each band the members
+   outside the band's largest component meet the rest, and what the bounds allow is verified.
 """
 
 from __future__ import annotations
@@ -71,30 +73,33 @@ def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for c, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            s = np.frombuffer(items, np.int64)
+        for c, items in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            s = np.frombuffer(items.as_buffer(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), c))], names=["h", "c"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, items of a, items of b) -> the pairs with 100 * intersection >= percent * union."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            common_size = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append(100 * common_size >= percent * (len(x) + len(y) - common_size))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """(a, b, items of a, items of b) -> (a, b, size of the intersection, 100 * intersection >= percent * union)."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch, shared, linked = whole.slice(start, 256), [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                shared.append(same)
+                linked.append(100 * same >= percent * (len(x) + len(y) - same))
+            columns = [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "linked"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are links, tested on the full sets."""
+    """The pairs (a, b) of classes with the shingles they share and whether they are links, from the full sets."""
     one = lambda k: sets.select(F.col("c").alias(k), F.col("items").alias(f"items_{k}"))
     joined = pairs.hint("merge").join(one("b").hint("merge"), "b").hint("merge").join(one("a").hint("merge"), "a")
-    return joined.select("a", "b", "items_a", "items_b").mapInArrow(lambda it: _linked(it, percent), "a long, b long")
+    return joined.select("a", "b", "items_a", "items_b").mapInArrow(lambda it: _linked(it, percent), "a long, b long, shared long, linked boolean")
 
 
 def _released(spark) -> None:
@@ -152,7 +157,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
 
     # bands with two classes or more, and their members
     in_bands = sketched.select(F.explode("bands").alias("band"), "c")
-    shared = in_bands.groupBy("band").agg(F.min("c").alias("centre"), F.max("c").alias("last")).where("centre <> last").select("band", "centre")
+    shared = in_bands.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.count("*").alias("size")).where("first <> last").select("band", "size")
     members, _ = common.materialise(in_bands.hint("merge").join(shared.hint("merge"), "band").distinct(), "members")
     _released(spark)
 
@@ -163,29 +168,42 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     sets, _ = common.materialise(sets.groupBy("c").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
     _released(spark)
 
-    # each class against its best centre
-    shares = members.where("c <> centre").groupBy("c", "centre").count()
-    best = shares.groupBy("c").agg(F.max(F.struct("count", (-F.col("centre")).alias("minus"))).alias("x")).select(F.col("c").alias("b"), (-F.col("x.minus")).alias("a"))
-    links, _ = common.materialise(verified(best.select("a", "b"), sets, percent), "links")
+    # each class against two centres: the widest known, and the one that it shares most bands with
+    hubs = members.groupBy("c").agg(F.sum("size").alias("hub"))
+    centres = members.select("band", "c").join(hubs, "c").groupBy("band").agg(F.max(F.struct("hub", "c")).alias("x")).select("band", F.col("x.hub").alias("hub"), F.col("x.c").alias("centre"))
+    shares = members.select("band", "c").join(centres, "band").where("c <> centre").groupBy("c", "centre").agg(F.count("*").alias("n"), F.first("hub").alias("hub"))
+    best = shares.groupBy("c").agg(F.max(F.struct("hub", "centre")).alias("x"), F.max(F.struct("n", "hub", "centre")).alias("y"))
+    best, _ = common.materialise(best.select("c", "x", F.col("y.centre").alias("y")), "centres")
+    pairs = best.select(F.explode(F.array_distinct(F.array("x.centre", "y"))).alias("o"), "c").select(F.least("o", "c").alias("a"), F.greatest("o", "c").alias("b")).distinct()
+    tested, _ = common.materialise(verified(pairs, sets, percent), "tested")
+    links = tested.where("linked").select("a", "b")
     label, _ = common.materialise(components(links), "labels")
 
     # the rest: members of one band in different components that the bound allows
     alone = sets.select("c", "items").mapInArrow(_exploded, "h long, c long").groupBy("h").agg(F.count("*").alias("x"), F.min("c").alias("c")).where("x = 1")
     alone = alone.groupBy("c").agg(F.count("*").alias("alone"))
+    own = best.join(hubs, "c").select("c", F.when(F.col("x") > F.struct("hub", F.col("c").alias("centre")), F.col("x.centre")).otherwise(F.col("c")).alias("centre"))
+    own = own.withColumns({"a": F.least("c", "centre"), "b": F.greatest("c", "centre")}).join(tested, ["a", "b"], "left").select("c", "centre", "shared")
     facts = (
-        sets.select("c", "n").join(alone, "c", "left").join(label.withColumnRenamed("node", "c"), "c", "left")
-        .select("c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("u"), F.coalesce("label", "c").alias("label"))
+        sets.select("c", "n").join(alone, "c", "left").join(label.withColumnRenamed("node", "c"), "c", "left").join(own, "c", "left")
+        .select(
+            "c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("u"), F.coalesce("label", "c").alias("label"),
+            F.coalesce("centre", "c").alias("centre"), F.coalesce("shared", "n").alias("shared"),
+        )
         .where(100 * F.col("u") >= percent * F.col("n"))
     )
     placed, _ = common.materialise(members.select("band", "c").join(facts, "c"), "placed")
     _released(spark)
     per_label = placed.groupBy("band", "label").count()
     mixed = per_label.groupBy("band").agg(F.max(F.struct("count", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("x.label").alias("major"))
-    minor = placed.join(mixed, "band").where("label <> major").select("band", F.col("c").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("label").alias("la"))
-    least = F.least("ua", "u")
-    possible = minor.join(placed, "band").where((F.col("la") != F.col("label")) & (100 * least >= percent * (F.col("na") + F.col("n") - least)))
-    rest = possible.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
-    more, _ = common.materialise(verified(rest, sets, percent), "links")
+    minor = placed.join(mixed, "band").where("label <> major").select("band", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "u", "label", "centre", "shared")])
+    # at most so many shingles in common: those in the common centre, and of the others those held elsewhere
+    most = F.least("u", "u2")
+    outside = lambda k: F.greatest(F.col(f"u{k}") - F.col(f"shared{k}"), F.lit(0))
+    most = F.when(F.col("centre") == F.col("centre2"), F.least(most, F.least("shared", "shared2") + F.least(outside(""), outside("2")))).otherwise(most)
+    possible = minor.join(placed, "band").where((F.col("label") != F.col("label2")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most)))
+    rest = possible.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
+    more, _ = common.materialise(verified(rest, sets, percent).where("linked").select("a", "b"), "links")
     label, _ = common.materialise(components(links.unionByName(more)), "labels")
     _released(spark)
 

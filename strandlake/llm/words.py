@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: Words kept by one Python worker; of a full table the rarer half is dropped, which costs time and changes nothing.
 TABLE_WORDS = 800_000
 #: Bytes of text handled at a time.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 
 
 def rows(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[list, pa.Array]]:
@@ -30,6 +30,7 @@ def rows(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> I
             size += int(n)
         if start < len(ids):
             yield ids[start:], texts.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:
