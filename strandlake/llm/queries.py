@@ -89,3 +89,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, trainable=lambda x: _remainder(x, 5) != 0)
     return _predicted(quality.score(docs, model), _remainder(F.col("doc_id"), 5) == 0, 0.3)
+
+
+@query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of any 400-byte string that also starts elsewhere."""
+    from .repeats import remove_repeats
+
+    cut = remove_repeats(common.table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
