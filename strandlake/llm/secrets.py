@@ -91,26 +91,40 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty result; other columns, whatever their names, are not read. Window and thresholds
     apply to strings of any length.
     """
-    t = F.col("text")
-    docs = common.pick(docs, id_col, text_col).toDF("id", "text").select("id", F.coalesce(t, F.lit("")).alias("text"))
+    docs = common.pick(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    found = _with_spans(docs, "text", "spans", window, classes, allow)
+    return found.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "spans")
+
+
+def _with_spans(docs: DataFrame, text: str, spans: str, window: int = 20, classes: list = CLASSES, allow: list[str] = ALLOW) -> DataFrame:
+    """The documents and a column of all spans of the (never null) text column."""
+    t = F.col(text)
     none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
     some = lambda gate, pattern: F.when(gate, common.spans_of(t, pattern)).otherwise(none)
     found = docs.select(
-        "id", "text",
-        some(t.rlike("(?i)passw|secret|token|api_?key"), ASSIGN).alias("assign"),
-        some(t.contains("AKIA"), ACCESS).alias("access"),
-        some(t.rlike("[0-9a-f]{24}"), HEX).alias("hex"),
-        some(t.rlike("[A-Za-z0-9+/_=-]{20}"), CANDIDATE).alias("candidates"),
-    )
-    found = found.withColumn("assign", F.filter("assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN_VALUE, 1)) >= 6))
-    found = found.withColumn("entropy", F.when(F.size("candidates") > 0, _entropy_spans(F.col("candidates"), window, classes, allow)).otherwise(none))
-    return found.select(
-        F.col("id").alias(id_col), F.col("text").alias(text_col),
-        common.in_order(*[(k, F.col(k)) for k in ("assign", "access", "hex", "entropy")]).alias("spans"),
+        "*",
+        some(t.rlike("(?i)passw|secret|token|api_?key"), ASSIGN).alias("__assign"),
+        some(t.contains("AKIA"), ACCESS).alias("__access"),
+        some(t.rlike("[0-9a-f]{24}"), HEX).alias("__hex"),
+        some(t.rlike("[A-Za-z0-9+/_=-]{20}"), CANDIDATE).alias("__candidates"),
     )
+    found = found.withColumn("__assign", F.filter("__assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN_VALUE, 1)) >= 6))
+    found = found.withColumn("__entropy", F.when(F.size("__candidates") > 0, _entropy_spans(F.col("__candidates"), window, classes, allow)).otherwise(none))
+    kinds = [(k, F.col(f"__{k}")) for k in ("assign", "access", "hex", "entropy")]
+    return found.select(*docs.columns, common.in_order(*kinds).alias(spans))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """The id, and the text with every secret replaced by the mark (a null text becomes empty)."""
     found = scan_secrets(docs, id_col, text_col, **options)
     return found.select(id_col, common.redacted(F.col(text_col), F.col("spans"), mark).alias(text_col), F.size("spans").alias("n_secrets"))
+
+
+def redacted_documents(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", mark: str = "[SECRET]", **options) -> DataFrame:
+    """The documents with all their columns, secrets replaced by the mark and the count of characters renewed where there are any."""
+    found = _with_spans(docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))), "__text", "__spans", **options)
+    found = found.withColumn("__new", F.when(F.size("__spans") > 0, common.redacted(F.col("__text"), F.col("__spans"), mark)).otherwise(F.col(text_col)))
+    out = {text_col: F.col("__new").alias(text_col)}
+    if count_col in docs.columns:
+        out[count_col] = F.when(F.size("__spans") > 0, F.length("__new").cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)).alias(count_col)
+    return found.select(*[out.get(c, F.col(c)) for c in docs.columns])

@@ -172,9 +172,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((model.per_bucket, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.per_bucket, own.bias = shared.value
-        table, kind = WordTable(own.word_logits), None
+        scorer, kind = _scorer(shared.value, size), None
 
         def typed():
             nonlocal kind
@@ -183,9 +181,37 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield b
 
         for ids, texts in rows(typed()):
-            at, distinct, ends = split(texts)
-            sums = np.concatenate([[0.0], np.cumsum(table.of(distinct)[at].astype(np.float64))])
-            logits = best_passages(sums, np.concatenate([[0], ends[:-1]]), ends, size) + own.bias
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(scorer(texts))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
+
+
+def _scorer(learned: tuple, size: int):
+    model = Model.__new__(Model)
+    model.per_bucket, model.bias = learned
+    table = WordTable(model.word_logits)
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        at, distinct, ends = split(texts)
+        sums = np.concatenate([[0.0], np.cumsum(table.of(distinct)[at].astype(np.float64))])
+        logits = best_passages(sums, np.concatenate([[0], ends[:-1]]), ends, size) + model.bias
+        return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+
+    return scores
+
+
+def filtered(docs: DataFrame, model: Model, reject: float, text_col: str = "text", size: int = PASSAGE) -> DataFrame:
+    """The documents, with all their columns, whose score is below ``reject``."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((model.per_bucket, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared.value, size)
+        for whole in batches:
+            # the row numbers stand in for ids
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(whole.num_rows)), whole.column(at)], names=["i", "text"])
+            for numbers, texts in rows(iter([numbered])):
+                keep = pa.array(scorer(texts) < reject)
+                yield whole.slice(numbers[0], len(numbers)).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
