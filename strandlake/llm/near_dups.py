@@ -9,8 +9,8 @@
    this joins most of any large group of copies by twice as many comparisons as it has members.
 4. What remains are pairs of one band in different components. Shingles held by one candidate only
    can't be shared: of two classes with u and u' shingles held elsewhere no more than min(u, u') are common.
-   If both were tested against the same centre, no more than the smaller number shared with it plus the
-   smaller number held elsewhere outside it. These exact bounds leave few pairs; in each band the members
+   If both were tested against the same centre, no more than they both share with it (a bit for each of its
+   shingles says which) plus the smaller number held elsewhere outside it. These exact bounds leave few pairs; in each band the members
    outside the band's largest component meet the rest, and what the bounds allow is verified.
 """
 
@@ -78,28 +78,37 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), c))], names=["h", "c"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, items of a, items of b) -> (a, b, size of the intersection, 100 * intersection >= percent * union)."""
+def _bits(marks: np.ndarray) -> np.ndarray:
+    return np.packbits(np.concatenate([marks, np.zeros(-len(marks) % 64, bool)]), bitorder="little").view(np.int64)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int, with_bits: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, items of a, items of b) -> (a, b, size of the intersection, is a link, which items of a are shared, which of b)."""
     for whole in batches:
         for start in range(0, whole.num_rows, 256):
-            batch, shared, linked = whole.slice(start, 256), [], []
+            batch, out = whole.slice(start, 256), []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
                 at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                shared.append(same)
-                linked.append(100 * same >= percent * (len(x) + len(y) - same))
-            columns = [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "linked"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+                marks = y[np.minimum(at, len(y) - 1)] == x
+                same = int(marks.sum())
+                linked = 100 * same >= percent * (len(x) + len(y) - same)
+                if with_bits:
+                    others = np.zeros(len(y), bool)
+                    others[at[marks]] = True
+                    out.append((same, linked, _bits(marks), _bits(others)))
+                else:
+                    out.append((same, linked, None, None))
+            kinds = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "linked", "in_a", "in_b"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, with_bits: bool = False) -> DataFrame:
     """The pairs (a, b) of classes with the shingles they share and whether they are links, from the full sets."""
     one = lambda k: sets.select(F.col("c").alias(k), F.col("items").alias(f"items_{k}"))
     joined = pairs.hint("merge").join(one("b").hint("merge"), "b").hint("merge").join(one("a").hint("merge"), "a")
-    return joined.select("a", "b", "items_a", "items_b").mapInArrow(lambda it: _linked(it, percent), "a long, b long, shared long, linked boolean")
+    return joined.select("a", "b", "items_a", "items_b").mapInArrow(lambda it: _linked(it, percent, with_bits), "a long, b long, shared long, linked boolean, in_a array<long>, in_b array<long>")
 
 
 def _released(spark) -> None:
@@ -175,7 +184,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     best = shares.groupBy("c").agg(F.max(F.struct("hub", "centre")).alias("x"), F.max(F.struct("n", "hub", "centre")).alias("y"))
     best, _ = common.materialise(best.select("c", "x", F.col("y.centre").alias("y")), "centres")
     pairs = best.select(F.explode(F.array_distinct(F.array("x.centre", "y"))).alias("o"), "c").select(F.least("o", "c").alias("a"), F.greatest("o", "c").alias("b")).distinct()
-    tested, _ = common.materialise(verified(pairs, sets, percent), "tested")
+    tested, _ = common.materialise(verified(pairs, sets, percent, True), "tested")
     links = tested.where("linked").select("a", "b")
     label, _ = common.materialise(components(links), "labels")
 
@@ -183,12 +192,13 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     alone = sets.select("c", "items").mapInArrow(_exploded, "h long, c long").groupBy("h").agg(F.count("*").alias("x"), F.min("c").alias("c")).where("x = 1")
     alone = alone.groupBy("c").agg(F.count("*").alias("alone"))
     own = best.join(hubs, "c").select("c", F.when(F.col("x") > F.struct("hub", F.col("c").alias("centre")), F.col("x.centre")).otherwise(F.col("c")).alias("centre"))
-    own = own.withColumns({"a": F.least("c", "centre"), "b": F.greatest("c", "centre")}).join(tested, ["a", "b"], "left").select("c", "centre", "shared")
+    own = own.withColumns({"a": F.least("c", "centre"), "b": F.greatest("c", "centre")}).join(tested, ["a", "b"], "left")
+    own = own.select("c", "centre", "shared", F.when(F.col("centre") == F.col("a"), F.col("in_a")).otherwise(F.col("in_b")).alias("bits"))
     facts = (
         sets.select("c", "n").join(alone, "c", "left").join(label.withColumnRenamed("node", "c"), "c", "left").join(own, "c", "left")
         .select(
             "c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("u"), F.coalesce("label", "c").alias("label"),
-            F.coalesce("centre", "c").alias("centre"), F.coalesce("shared", "n").alias("shared"),
+            F.coalesce("centre", "c").alias("centre"), F.coalesce("shared", "n").alias("shared"), "bits",
         )
         .where(100 * F.col("u") >= percent * F.col("n"))
     )
@@ -196,12 +206,16 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     _released(spark)
     per_label = placed.groupBy("band", "label").count()
     mixed = per_label.groupBy("band").agg(F.max(F.struct("count", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("x.label").alias("major"))
-    minor = placed.join(mixed, "band").where("label <> major").select("band", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "u", "label", "centre", "shared")])
+    minor = placed.join(mixed, "band").where("label <> major").select("band", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "u", "label", "centre", "shared", "bits")])
     # at most so many shingles in common: those in the common centre, and of the others those held elsewhere
-    most = F.least("u", "u2")
     outside = lambda k: F.greatest(F.col(f"u{k}") - F.col(f"shared{k}"), F.lit(0))
-    most = F.when(F.col("centre") == F.col("centre2"), F.least(most, F.least("shared", "shared2") + F.least(outside(""), outside("2")))).otherwise(most)
-    possible = minor.join(placed, "band").where((F.col("label") != F.col("label2")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most)))
+    beside = F.least(outside(""), outside("2"))
+    same_centre = F.col("centre") == F.col("centre2")
+    in_centre = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    enough = lambda most: 100 * most >= percent * (F.col("n") + F.col("n2") - most)
+    rough = F.least("u", "u2")
+    rough = F.when(same_centre, F.least(rough, F.least("shared", "shared2") + beside)).otherwise(rough)
+    possible = minor.join(placed, "band").where((F.col("label") != F.col("label2")) & enough(rough) & F.when(same_centre & F.col("bits").isNotNull() & F.col("bits2").isNotNull(), enough(in_centre + beside)).otherwise(True))
     rest = possible.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
     more, _ = common.materialise(verified(rest, sets, percent).where("linked").select("a", "b"), "links")
     label, _ = common.materialise(components(links.unionByName(more)), "labels")
