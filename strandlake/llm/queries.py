@@ -99,3 +99,32 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(common.table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product with every vector whose id is divisible by 20."""
+    from .neighbours import nearest
+
+    return nearest(common.table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+BASE_PERSONAL = ["email", "ip", "card", "phone"]
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base patterns, and terms that reveal them."""
+    from .personal import scan_personal
+
+    found = scan_personal(common.table(spark, sf_dir, "documents"))
+    return _counted(found, BASE_PERSONAL, BASE_PERSONAL)
+
+
+@query
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document by sentence rules."""
+    from .licences import scan_licences
+
+    found = scan_licences(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("licences", ",").alias("licences"))
