@@ -131,6 +131,8 @@ def _best(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, k: int) ->
 def _probe_limit(hasher: Hasher, queries: np.ndarray, near: list[np.ndarray], recall: float) -> int:
     """The least number of probes per table that finds the wanted share of the sample's neighbours."""
     n = min((2 * hasher.dim) ** hasher.functions, 4096)
+    if not near:
+        return 1
     ranks = []
     q = hasher.unit(queries, False)
     orders = [hasher.probes(q, t, n) for t in range(hasher.tables)]
@@ -141,7 +143,7 @@ def _probe_limit(hasher: Hasher, queries: np.ndarray, near: list[np.ndarray], re
             place = {int(b): j for j, b in enumerate(orders[t][i])}
             best = np.minimum(best, [place.get(int(b), n) for b in hasher.buckets(members, t)])
         ranks.append(best)
-    ranks = np.sort(np.concatenate(ranks)) if ranks else np.zeros(1)
+    ranks = np.sort(np.concatenate(ranks))
     return int(min(n, ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] + 1))
 
 
