@@ -188,10 +188,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     positions, path = common.materialise(texts.select("row", "text").where(F.length("text") >= length).mapInArrow(lambda it: _first_ranks(it, length, stretch), ranks), "ranks")
     covers, span, level = [], width, 0
     while True:
-        # positions whose core is not unique
-        shared = positions.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        # positions whose core is not unique; written first, so that both sides of the join are dealt by it and a hot core can be split
+        shared, shared_path = common.materialise(positions.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "shared")
         alive, alive_path = common.materialise(positions.hint("merge").join(shared.hint("merge"), "core").select("row", "place", "core", "hull"), "alive")
         common.drop_path(spark, path)
+        common.drop_path(spark, shared_path)
         # classes of equal hulls; one position of each stands for it from now on
         classes, _ = common.materialise(alive.groupBy("core", "hull").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("place").alias("place")), "classes")
         past = classes.where("n > 1").select("core", "hull")
@@ -202,7 +203,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if span == 1:
             break
         # ranges whose core is held by different hulls go on, in four parts
-        mixed = classes.groupBy("core").agg(F.count("*").alias("hulls")).where("hulls > 1").select("core")
+        mixed, _ = common.materialise(classes.groupBy("core").agg(F.count("*").alias("hulls")).where("hulls > 1").select("core"), "mixed")
         waiting = classes.select("core", "row", "place").hint("merge").join(mixed.hint("merge"), "core").groupBy("row").agg(F.collect_list("place").alias("places"))
         span, level = span // 4, level + 1
         asked = texts.select("row", "text").join(waiting.hint("merge"), "row").select("row", "text", "places")
