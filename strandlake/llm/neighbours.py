@@ -29,7 +29,7 @@ RECALL = 0.96
 #: Vectors that one bucket should hold on average; more hash functions per table keep it so.
 BUCKET = 1024
 #: Members of a bucket handled at once; larger buckets are split.
-BLOCK = 8192
+BLOCK = 2048
 
 
 class Hasher:
@@ -183,7 +183,6 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         return spark.createDataFrame([], result)
     functions = max(1, round(math.log(max(1, n / bucket)) / math.log(2 * size)))
     hasher = Hasher(size, tables, functions, largest)
-    v_type = classes.schema["v"]
     s_matrix = _matrix(pa.array([r.v for r in sample], pa.list_(pa.float64())), size)
     s_ids = np.array([r.c for r in sample])
 
@@ -211,18 +210,22 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     limit = _probe_limit(hasher, s_matrix[have], [np.array(lists[i][:k]) for i in have], recall)
 
     # members and probes of all tables
-    filed = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("c", id_type), v_type])
+    # vectors travel as bytes of the given precision
+    raw = np.dtype("<f4") if isinstance(classes.schema["v"].dataType.elementType, T.FloatType) else np.dtype("<f8")
+    filed = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("c", id_type), T.StructField("v", T.BinaryType())])
 
     def file_under(probes: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for start in range(0, whole.num_rows, 2048):
                     b = whole.slice(start, 2048)
-                    x = hasher.unit(_matrix(b.column(1), size), probes is None)
+                    given = _matrix(b.column(1), size)
+                    packed = pa.array([v.tobytes() for v in given.astype(raw)], pa.binary())
+                    x = hasher.unit(given, probes is None)
                     for t in range(tables):
                         found = hasher.buckets(x, t)[:, None] if probes is None else hasher.probes(x, t, probes)
                         take = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, t, np.int32)), pa.array(found.ravel()), b.column(0).take(take), b.column(1).take(take)], names=filed.names)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, t, np.int32)), pa.array(found.ravel()), b.column(0).take(take), packed.take(take)], names=filed.names)
 
         return run
 
@@ -238,7 +241,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         q_ids, m_ids = (x.column("c").to_numpy() for x in (asking, filed_))
         if not len(q_ids) or not len(m_ids):
             return pa.table({"q": pa.array([], asking.schema.field("c").type), "c": pa.array([], asking.schema.field("c").type), "score": pa.array([], pa.float64())})
-        i, m, score = _best(_matrix(asking.column("v"), size), _matrix(filed_.column("v"), size), m_ids, k + 1)
+        unpacked = lambda x: np.frombuffer(b"".join(x.column("v").to_pylist()), raw).reshape(-1, size).astype(np.float64)
+        i, m, score = _best(unpacked(asking), unpacked(filed_), m_ids, k + 1)
         return pa.table({"q": q_ids[i], "c": m_ids[m], "score": score})
 
     by = ["table", "bucket", "part"]
