@@ -28,8 +28,8 @@ MIN_DOCUMENTS = 8
 DECAY = 1e-4
 GRAMS = (3, 4, 5)
 #: Bound of the training sample: labelled rows of either class. All labelled rows are used if there are fewer.
-SAMPLE_ROWS = 4_000
-EPOCHS = 8
+SAMPLE_ROWS = 6_000
+EPOCHS = 10
 
 
 def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def passages(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, starts + size
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, size: int = PASSAGE, epochs: int = EPOCHS, rate: float = 0.25, min_documents: int = MIN_DOCUMENTS, decay: float = DECAY, warm_up: int = 2, trust: float = 1.0, seed: int = 17) -> Model:
+def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, size: int = PASSAGE, epochs: int = EPOCHS, rate: float = 0.5, min_documents: int = MIN_DOCUMENTS, decay: float = DECAY, warm_up: int = 2, trust: float = 0.7, seed: int = 17) -> Model:
     """Joint gradient descent; each document is stood for by its currently most toxic passage.
 
     A model of constant probability if either class is missing.
