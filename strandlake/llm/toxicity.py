@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .anchors import mix
 from .words import WordTable, rows, split
 
 BUCKETS = 1 << 16
@@ -32,18 +33,31 @@ SAMPLE_ROWS = 6_000
 EPOCHS = 10
 
 
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
+
+def grams(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of the words themselves and of their n-grams between marks, without case or punctuation at the ends."""
+    texts = ["<" + w.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]") + ">" for w in words]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    word_of = np.repeat(np.arange(len(texts)), lengths)
+    ends = np.cumsum(lengths)[word_of]
+    owners, found = [np.arange(len(texts))], [np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)]
+    for n in GRAMS:
+        at = np.flatnonzero(np.arange(n, len(codes) + n) <= ends)
+        total = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            total = total + codes[at + i] * _FACTORS[i]
+        owners.append(word_of[at])
+        found.append(mix(total))
+    return np.concatenate(owners), (np.concatenate(found) % np.uint64(buckets)).astype(np.int64)
+
+
 def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(flat bucket ids, number of them for each word): the word itself and its n-grams between marks, without case."""
-    flat: list[int] = []
-    counts = []
-    for w in words:
-        text = "<" + w.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]") + ">"
-        grams = {text}
-        for n in GRAMS:
-            grams.update(text[i : i + n] for i in range(len(text) - n + 1))
-        flat.extend(xxhash.xxh3_64_intdigest(g) % buckets for g in sorted(grams))
-        counts.append(len(grams))
-    return np.array(flat, np.int64), np.array(counts, np.int64)
+    """(flat bucket ids in the order of the words, number of them for each word)."""
+    owners, found = grams(words, buckets)
+    return found[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
 
 
 class Model:
@@ -55,8 +69,8 @@ class Model:
     def word_logits(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.float32)
-        flat, counts = subwords(words, len(self.per_bucket))
-        return (np.add.reduceat(self.per_bucket[flat], np.concatenate([[0], np.cumsum(counts)[:-1]])) / counts).astype(np.float32)
+        owners, found = grams(words, len(self.per_bucket))
+        return (np.bincount(owners, self.per_bucket[found], len(words)) / np.bincount(owners, minlength=len(words))).astype(np.float32)
 
 
 def passages(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
