@@ -56,8 +56,13 @@ def grams(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
 
 def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(flat bucket ids in the order of the words, number of them for each word)."""
-    owners, found = grams(words, buckets)
-    return found[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
+    flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for start in range(0, len(words), 20_000):
+        part = words[start : start + 20_000]
+        owners, found = grams(part, buckets)
+        flat.append(found[np.argsort(owners, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owners, minlength=len(part)))
+    return np.concatenate(flat), np.concatenate(counts)
 
 
 class Model:
@@ -69,8 +74,12 @@ class Model:
     def word_logits(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.float32)
-        owners, found = grams(words, len(self.per_bucket))
-        return (np.bincount(owners, self.per_bucket[found], len(words)) / np.bincount(owners, minlength=len(words))).astype(np.float32)
+        out = []
+        for start in range(0, len(words), 20_000):
+            part = words[start : start + 20_000]
+            owners, found = grams(part, len(self.per_bucket))
+            out.append(np.bincount(owners, self.per_bucket[found], len(part)) / np.bincount(owners, minlength=len(part)))
+        return np.concatenate(out).astype(np.float32)
 
 
 def passages(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +91,7 @@ def passages(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, starts + size
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, size: int = PASSAGE, epochs: int = EPOCHS, rate: float = 0.5, min_documents: int = MIN_DOCUMENTS, decay: float = DECAY, warm_up: int = 2, trust: float = 0.7, seed: int = 17) -> Model:
+def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, size: int = PASSAGE, epochs: int = EPOCHS, rate: float = 0.5, min_documents: int = MIN_DOCUMENTS, decay: float = DECAY, warm_up: int = 2, positive_weight: float = 2.0, trust: float = 0.7, seed: int = 17) -> Model:
     """Joint gradient descent; each document is stood for by its currently most toxic passage.
 
     A model of constant probability if either class is missing.
@@ -110,14 +119,14 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
     vectors[~known] = 0
     windows = [passages(int(e - s), size) for s, e in zip(starts, ends, strict=True)]
     for epoch in range(epochs):
-        # the passage of each document that the present model finds most toxic; random ones at first
+        # the passage of each document that the present model finds most toxic; long random ones at first
         per_word = np.add.reduceat((vectors @ weights)[flat], offsets[:-1]) / counts
         sums = np.concatenate([[0.0], np.cumsum(per_word[at])])
         chosen = []
         for i, (a, b) in enumerate(windows):
             a, b = a + starts[i], b + starts[i]
             k = np.argmax((sums[b] - sums[a]) / np.maximum(1, b - a))
-            chosen.append((a[k], b[k]) if epoch else (starts[i], ends[i]))
+            chosen.append((a[k], b[k]) if epoch else _stretch(rng, int(starts[i]), int(ends[i])))
         for part in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 64)):
             words = [at[chosen[i][0] : chosen[i][1]] for i in part]
             n_words = np.array([len(w) for w in words])
@@ -125,18 +134,19 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
             doc = np.repeat(np.arange(len(part)), n_words)
             n_grams = counts[w]
             own_ends = np.cumsum(n_grams)
-            grams = flat[np.repeat(offsets[w] - own_ends + n_grams, n_grams) + np.arange(own_ends[-1] if len(w) else 0)]
+            grams_ = flat[np.repeat(offsets[w] - own_ends + n_grams, n_grams) + np.arange(own_ends[-1] if len(w) else 0)]
             share = np.repeat(1.0 / (n_grams * n_words[doc]), n_grams)
-            gram_doc = np.repeat(doc, n_grams)
-            hidden = np.zeros((len(part), dim))
-            np.add.at(hidden, gram_doc, vectors[grams] * share[:, None])
+            touched, inverse = np.unique(grams_, return_inverse=True)
+            # the share of each touched bucket in each document's mean
+            mixed = np.bincount(np.repeat(doc, n_grams) * len(touched) + inverse, share, len(part) * len(touched)).reshape(len(part), len(touched))
+            hidden = mixed @ vectors[touched]
             likely = 1 / (1 + np.exp(-np.clip(hidden @ weights + bias, -30, 30)))
             error = likely - labels[part]
+            error *= np.where(labels[part] == 1, positive_weight, 1.0)
             if epoch >= warm_up:  # the generalised cross entropy: labels that the rest contradicts pull less
                 error *= np.where(labels[part] == 1, likely, 1 - likely) ** trust
             d_weights, d_bias = hidden.T @ error / len(part) + 1e-4 * weights, error.mean()
-            touched, inverse = np.unique(grams, return_inverse=True)
-            amount = np.bincount(inverse, share * error[gram_doc], len(touched))
+            amount = mixed.T @ error
             d_vectors = (amount[:, None] * weights + decay * vectors[touched]) * known[touched][:, None]
             g_vectors[touched] += (d_vectors**2).mean(axis=1)
             vectors[touched] -= rate * d_vectors / np.sqrt(g_vectors[touched])[:, None]
@@ -147,6 +157,11 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
     return Model(vectors, weights, bias)
 
 
+def _stretch(rng: np.random.Generator, start: int, end: int, most: int = 96) -> tuple[int, int]:
+    first = int(rng.integers(start, max(start, end - most) + 1))
+    return first, min(end, first + most)
+
+
 def best_passages(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """The largest mean of any passage of ``size`` words in a row (all words of shorter texts); 0 without words."""
     out = np.zeros(len(starts))
