@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import slots
 from ..operators import keyvalue as kv
+from ..sources import keys
 from ..sources.reads import table
 from .registry import query
 
@@ -199,3 +201,33 @@ def dht_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dht_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each rank looks up the keys of the next one."""
     return kv.neighbours_agree(_dht(spark, sf_dir).withColumn("val", F.col("key")), 8)
+
+
+def _digest(x: str, seed: str, digits: int = 15) -> str:
+    return f"('0x' || substr(md5('{seed}:' || CAST({x} AS VARCHAR)), 1, {digits}))::BIGINT"
+
+
+@query(f"SELECT o_orderkey AS pos, {_digest('o_orderkey', 'pairs')} AS key, {_digest('o_orderkey', 'pairsv', 8)} & 63 AS val FROM orders")
+def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pseudo-random key and value for each order."""
+    o = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(o.alias("pos"), keys.digest_number(o, "pairs").alias("key"), keys.digest_number(o, "pairsv", 8).bitwiseAND(63).alias("val"))
+
+
+@query(f"""WITH k AS (SELECT o_orderkey AS key, {_digest('o_orderkey', 'h', 12)} AS h, {_digest('o_orderkey', 's', 6)} AS s FROM orders)
+SELECT key, h % 1021 AS linear_0, (h + 3) % 1021 AS linear_3, ((h % 1021) + 3 * (s % 1021)) % 1021 AS double_3, (h >> 10) % 1021 AS bucket, xor(h >> 10, (h & 1023) * 1540483477) % 1021 AS other FROM k""")
+def probe_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets that tables of 1021 buckets try for each order key."""
+    o = F.col("o_orderkey")
+    k = table(spark, sf_dir, "orders").select(o.alias("key"), keys.digest_number(o, "h", 12).alias("h"), keys.digest_number(o, "s", 6).alias("s"))
+    k = k.withColumns({"l": slots.linear_probes(F.col("h"), 4, 1021), "d": slots.double_probes(F.col("h"), F.col("s"), 4, 1021), "x": slots.xor_choices(F.col("h"), 10, 1021)})
+    return k.select("key", F.col("l")[0].alias("linear_0"), F.col("l")[3].alias("linear_3"), F.col("d")[3].alias("double_3"), F.col("x")[0].alias("bucket"), F.col("x")[1].alias("other"))
+
+
+@query(f"""WITH k AS (SELECT o_orderkey AS key, {_digest('o_orderkey', 'h', 12)} & 1023 AS low, o_custkey & 63 AS val FROM orders), t AS (SELECT key, val, CASE WHEN low = 0 THEN 1 WHEN low = 1023 THEN 1022 ELSE low END AS tag FROM k)
+SELECT key, tag * 64 + val AS slot, tag, CAST(val AS BIGINT) AS val FROM t""")
+def packed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-bit tags and six-bit values in one number, and back."""
+    o = F.col("o_orderkey")
+    t = table(spark, sf_dir, "orders").select(o.alias("key"), slots.pack_slot(kv.tag(keys.digest_number(o, "h", 12), 10), F.col("o_custkey"), 6).alias("slot"))
+    return t.select("key", "slot", slots.slot_tag(F.col("slot"), 6).alias("tag"), slots.slot_value(F.col("slot"), 6).alias("val"))

@@ -340,6 +340,12 @@ def kmer_uu_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.unique_both_ways(counting.called(counting.purged(counts)))
 
 
+@query(f"WITH reads AS (SELECT doc_id AS read_id, translate(upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')), 'N', 'G') AS seq FROM documents), {POSITIONS}, {OCC}, counts AS (SELECT kmer, count(*) AS cnt, {_votes()} FROM occ GROUP BY kmer) SELECT * FROM counts WHERE cnt >= 2")
+def kmer_counts_n_as_g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward counts of reads whose N are taken for G."""
+    return counting.counted(kmers.interior_kmers(kmers.n_as_g(source.dirty_reads(spark, sf_dir)), K)).where("cnt >= 2")
+
+
 # --- reports
 PLACED_COUNTS = _targets() + ", counts AS (SELECT target, kmer, count(*) AS cnt FROM placed GROUP BY target, kmer)"
 

@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions import hashes, sequence
+from strandlake.functions import hashes, sequence, slots
 from strandlake.operators import counting, keyvalue, kmers
+from strandlake.sources import keys
 from strandlake.sources import reads as source
 from strandlake.sources import sinks
 
@@ -232,3 +233,33 @@ def test_keyed_tables(spark):
     assert rows(keyvalue.toggled(more)) == [(2, 9)]
     full = keyvalue.bounded_filter(spark.range(3000).selectExpr("id as key", "id as seq"), 16, 8, 10, 2).collect()
     assert all(r.kept <= 128 and 60 < r.first_refused < 200 for r in full)
+
+
+def test_slots(spark):
+    slot = spark.range(1).select(slots.pack_slot(F.lit(1023), F.lit(65), 6).alias("s"))
+    r = slot.select(slots.slot_tag(F.col("s"), 6), slots.slot_value(F.col("s"), 6), slots.is_tombstone(F.col("s"), 10, 6), slots.is_empty(F.col("s"), 6)).first()
+    assert tuple(r) == (1023, 1, True, False)
+    # either bucket leads to the other by the tag
+    r = spark.range(1).select(slots.xor_choices(F.lit(987654321).cast("long"), 10, 1 << 62).alias("x")).first().x
+    assert r[0] ^ r[1] == (987654321 & 1023) * slots.TAG_FACTOR
+
+
+def test_sizes():
+    ladder = slots.prime_ladder(limit=10**6)
+    assert ladder[:4] == [2, 3, 5, 7] and all(slots.is_prime(p) for p in ladder) and not slots.is_prime(3215031751)
+    assert all(b <= a * 1.05 + 120 for a, b in zip(ladder, ladder[1:]))
+    assert slots.prime_capacity(1000, ladder) >= 1000 >= slots.prime_capacity(1000, ladder, below=True)
+    assert slots.expected_kmers(1_000_000, 100, 31, 2) == 35_000_000 and slots.table_slots(660) == (1000, 858)
+    assert slots.filter_bytes(100) == 240 and slots.level_sizes(100) == [90, 10]
+
+
+def test_key_files(spark, tmp_path):
+    x = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 1000)
+    (tmp_path / "keys.bin").write_bytes(x.astype("<i8").tobytes())
+    got = keys.read_keys(spark, str(tmp_path / "keys.bin"), chunk=300).orderBy("pos").collect()
+    assert [r.key for r in got] == x.tolist() and [r.pos for r in got] == list(range(1000))
+    assert keys.random_pairs(spark, 50).select("key").distinct().count() == 50
+
+
+def test_n_as_g(spark):
+    assert kmers.n_as_g(frame(spark, ["aCNt"])).first().seq == "ACGT"
