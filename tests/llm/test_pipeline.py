@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from strandlake.llm import toxicity
@@ -26,7 +27,7 @@ def test_stages(spark, tmp_path):
         if name != "packing":
             assert docs.columns == COLUMNS
     before, after = seen["toxicity"]
-    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), trainable=lambda x: F.crc32(x.cast("string").cast("binary")) % 3 != 1)
     scores = {r.doc_id: r.score for r in toxicity.score(spark.read.parquet(f"{SF}/documents.parquet"), model).collect()}
     assert sorted(r.doc_id for r in after) == sorted(d for d, s in scores.items() if s < 0.7)
     before, after = seen["near_duplicates"]
