@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, paths: list | None = None) -> DataFrame:
     """(node, label) of every node with an edge; the label is the least node of its component.
 
     Alternating large and small stars: each round hangs a node's neighbours on the least of them;
     logarithmically many rounds. Every round is written to the shared folder, so lost executors cost a round
-    at most. Hot nodes are met by partial aggregation (the minimum) and by joins that AQE can split.
+    at most; the last table's path is added to ``paths``. Hot nodes are met by partial aggregation (the minimum) and by joins that AQE can split.
     """
     spark = edges.sparkSession
     edges, path = common.materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
@@ -34,6 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+    if paths is not None:
+        paths.append(path)
     # at the fixed point every edge is (node, least of its component)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()

@@ -160,6 +160,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     """(id, k, n, c) of each row, and (c, label, component) of each class; a component is its least id."""
     spark = docs.sparkSession
     docs = common.pick(docs, id_col, text_col).toDF("id", "text").withColumn("k", _key(F.col("text")))
+    paths: list[str] = []
+
+    def written(df: DataFrame, tag: str) -> DataFrame:
+        """Materialised until the classes are known."""
+        table, path = common.materialise(df, tag)
+        paths.append(path)
+        return table
+
     id_type = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), *[T.StructField(x, T.LongType()) for x in ("k", "n", "c")], T.StructField("bands", T.ArrayType(T.LongType()))])
     sketched, _ = common.materialise(docs.mapInArrow(lambda it: _sketched(it, bands, band_rows), schema), "sketches")
@@ -167,14 +175,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     # bands with two classes or more, and their members
     in_bands = sketched.select(F.explode("bands").alias("band"), "c")
     shared = in_bands.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.count("*").alias("size")).where("first <> last").select("band", "size")
-    members, _ = common.materialise(in_bands.hint("merge").join(shared.hint("merge"), "band").distinct(), "members")
+    members = written(in_bands.hint("merge").join(shared.hint("merge"), "band").distinct(), "members")
     _released(spark)
 
     # the sets of candidate classes, from one text of each
     wanted = members.select("c").distinct().join(sketched.groupBy("c").agg(F.min("k").alias("k")), "c")
     texts = docs.select("k", "text").join(wanted, "k").select("c", "text")
     sets = texts.mapInArrow(_as_sets, "c long, n long, items binary")
-    sets, _ = common.materialise(sets.groupBy("c").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
+    sets = written(sets.groupBy("c").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
     _released(spark)
 
     # each class against two centres: the widest known, and the one that it shares most bands with
@@ -182,11 +190,11 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     centres = members.select("band", "c").join(hubs, "c").groupBy("band").agg(F.max(F.struct("hub", "c")).alias("x")).select("band", F.col("x.hub").alias("hub"), F.col("x.c").alias("centre"))
     shares = members.select("band", "c").join(centres, "band").where("c <> centre").groupBy("c", "centre").agg(F.count("*").alias("n"), F.first("hub").alias("hub"))
     best = shares.groupBy("c").agg(F.max(F.struct("hub", "centre")).alias("x"), F.max(F.struct("n", "hub", "centre")).alias("y"))
-    best, _ = common.materialise(best.select("c", "x", F.col("y.centre").alias("y")), "centres")
+    best = written(best.select("c", "x", F.col("y.centre").alias("y")), "centres")
     pairs = best.select(F.explode(F.array_distinct(F.array("x.centre", "y"))).alias("o"), "c").select(F.least("o", "c").alias("a"), F.greatest("o", "c").alias("b")).distinct()
-    tested, _ = common.materialise(verified(pairs, sets, percent, True), "tested")
+    tested = written(verified(pairs, sets, percent, True), "tested")
     links = tested.where("linked").select("a", "b")
-    label, _ = common.materialise(components(links), "labels")
+    label = written(components(links, paths), "labels")
 
     # the rest: members of one band in different components that the bound allows
     alone = sets.select("c", "items").mapInArrow(_exploded, "h long, c long").groupBy("h").agg(F.count("*").alias("x"), F.min("c").alias("c")).where("x = 1")
@@ -202,7 +210,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
         )
         .where(100 * F.col("u") >= percent * F.col("n"))
     )
-    placed, _ = common.materialise(members.select("band", "c").join(facts, "c"), "placed")
+    placed = written(members.select("band", "c").join(facts, "c"), "placed")
     _released(spark)
     per_label = placed.groupBy("band", "label").count()
     mixed = per_label.groupBy("band").agg(F.max(F.struct("count", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("x.label").alias("major"))
@@ -217,12 +225,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     rough = F.when(same_centre, F.least(rough, F.least("shared", "shared2") + beside)).otherwise(rough)
     possible = minor.join(placed, "band").where((F.col("label") != F.col("label2")) & enough(rough) & F.when(same_centre & F.col("bits").isNotNull() & F.col("bits2").isNotNull(), enough(in_centre + beside)).otherwise(True))
     rest = possible.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
-    more, _ = common.materialise(verified(rest, sets, percent).where("linked").select("a", "b"), "links")
-    label, _ = common.materialise(components(links.unionByName(more)), "labels")
+    more = written(verified(rest, sets, percent).where("linked").select("a", "b"), "links")
+    label = written(components(links.unionByName(more), paths), "labels")
     _released(spark)
 
     # the least id of each class, then of each component
     classes = sketched.where("c is not null").groupBy("c").agg(F.min("id").alias("id")).join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("label", "c").alias("label"))
     classes, _ = common.materialise(classes, "classes")
+    for path in paths:
+        common.drop_path(spark, path)
     least_id = classes.groupBy("label").agg(F.min("id").alias("component"))
     return sketched.select("id", "k", "n", "c"), classes.join(least_id, "label").select("c", "label", "component")

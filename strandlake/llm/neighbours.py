@@ -166,7 +166,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     few = lambda x: F.slice(F.sort_array(x), 1, k + 1)
     parts = base.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(4096)).alias("part")).agg(few(F.collect_set("id")).alias("ids"))
     classes = parts.groupBy("v").agg(few(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-    classes, _ = common.materialise(classes.select(F.element_at("ids", 1).alias("c"), "ids", "v"), "classes")
+    classes, classes_path = common.materialise(classes.select(F.element_at("ids", 1).alias("c"), "ids", "v"), "classes")
     n, size, largest = classes.agg(F.count("*"), F.max(F.size("v")), F.max(F.sqrt(squares))).first()
     id_type = base.schema["id"].dataType
     result = T.StructType([T.StructField("query_id", id_type), T.StructField("rank", T.IntegerType()), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
@@ -175,7 +175,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
 
     asked = base.where(is_query).distinct()
     queries, _ = common.materialise(asked.join(classes.select("c", "v"), "v").select(F.col("id").alias("query_id"), "c"), "queries")
-    wanted, _ = common.materialise(classes.join(queries.select("c").distinct(), "c").select("c", "v"), "wanted")
+    wanted, wanted_path = common.materialise(classes.join(queries.select("c").distinct(), "c").select("c", "v"), "wanted")
 
     # calibration against all classes
     sample = wanted.orderBy(F.xxhash64("c"), "c").limit(sample_queries).collect()
@@ -252,6 +252,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     found = ranked(found, "q", F.desc("score"), F.col("c")).where(F.col("r") <= k + 1)
     listed = found.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("id"))
     listed, _ = common.materialise(ranked(listed, "q", F.desc("score"), F.col("id")).where(F.col("r") <= k + 1), "listed")
+    common.drop_path(spark, classes_path)
+    common.drop_path(spark, wanted_path)
     out = queries.join(listed, queries["c"] == listed["q"]).where("id <> query_id").select("query_id", "id", "score", "r")
     out = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("r"))).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

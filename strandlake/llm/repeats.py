@@ -194,20 +194,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         common.drop_path(spark, path)
         common.drop_path(spark, shared_path)
         # classes of equal hulls; one position of each stands for it from now on
-        classes, _ = common.materialise(alive.groupBy("core", "hull").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("place").alias("place")), "classes")
+        classes, classes_path = common.materialise(alive.groupBy("core", "hull").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("place").alias("place")), "classes")
         past = classes.where("n > 1").select("core", "hull")
         found, _ = common.materialise(alive.hint("merge").join(past.hint("merge"), ["core", "hull"]).select("row", (F.col("place") * 16 + level).alias("code")), "covers")
         covers.append(found)
         common.drop_path(spark, alive_path)
         _released(spark)
         if span == 1:
+            common.drop_path(spark, classes_path)
             break
         # ranges whose core is held by different hulls go on, in four parts
-        mixed, _ = common.materialise(classes.groupBy("core").agg(F.count("*").alias("hulls")).where("hulls > 1").select("core"), "mixed")
+        mixed, mixed_path = common.materialise(classes.groupBy("core").agg(F.count("*").alias("hulls")).where("hulls > 1").select("core"), "mixed")
         waiting = classes.select("core", "row", "place").hint("merge").join(mixed.hint("merge"), "core").groupBy("row").agg(F.collect_list("place").alias("places"))
         span, level = span // 4, level + 1
         asked = texts.select("row", "text").join(waiting.hint("merge"), "row").select("row", "text", "places")
         positions, path = common.materialise(asked.mapInArrow(lambda it, s=span: _next_ranks(it, length, s, stretch), ranks), "ranks")
+        common.drop_path(spark, classes_path)
+        common.drop_path(spark, mixed_path)
         _released(spark)
 
     found = covers[0]
