@@ -56,11 +56,12 @@ def grams(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
 
 def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(flat bucket ids in the order of the words, number of them for each word)."""
-    flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    kind = np.uint16 if buckets <= 1 << 16 else np.int32
+    flat, counts = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
     for start in range(0, len(words), 20_000):
         part = words[start : start + 20_000]
         owners, found = grams(part, buckets)
-        flat.append(found[np.argsort(owners, kind="stable")].astype(np.int32))
+        flat.append(found[np.argsort(owners, kind="stable")].astype(kind))
         counts.append(np.bincount(owners, minlength=len(part)))
     return np.concatenate(flat), np.concatenate(counts)
 
@@ -91,7 +92,7 @@ def passages(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, starts + size
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, size: int = PASSAGE, epochs: int = EPOCHS, rate: float = 0.5, min_documents: int = MIN_DOCUMENTS, decay: float = DECAY, warm_up: int = 2, positive_weight: float = 2.0, trust: float = 0.7, seed: int = 17) -> Model:
+def train(texts: list[str] | pa.Array, labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, size: int = PASSAGE, epochs: int = EPOCHS, rate: float = 0.5, min_documents: int = MIN_DOCUMENTS, decay: float = DECAY, warm_up: int = 2, positive_weight: float = 2.0, trust: float = 0.7, seed: int = 17) -> Model:
     """Joint gradient descent; each document is stood for by its currently most toxic passage.
 
     A model of constant probability if either class is missing.
@@ -102,8 +103,10 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
     if not 0 < positive < len(labels):
         p = (positive + 0.5) / (len(labels) + 1)
         return Model(np.zeros((buckets, dim)), np.zeros(dim), np.log(p / (1 - p)))
-    at, distinct, ends = split(pa.array(texts, pa.string()))
+    at, distinct, ends = split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    at = at.astype(np.int32)
     flat, counts = subwords(distinct, buckets)
+    del distinct, texts
     offsets = np.concatenate([[0], np.cumsum(counts)])
     vectors = rng.normal(0, 0.1, (buckets, dim))
     weights, bias = rng.normal(0, 0.3, dim), float(np.log(positive / (len(labels) - positive)))
@@ -120,7 +123,7 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
     windows = [passages(int(e - s), size) for s, e in zip(starts, ends, strict=True)]
     for epoch in range(epochs):
         # the passage of each document that the present model finds most toxic; long random ones at first
-        per_word = np.add.reduceat((vectors @ weights)[flat], offsets[:-1]) / counts
+        per_word = _word_means((vectors @ weights).astype(np.float32), flat, offsets)
         sums = np.concatenate([[0.0], np.cumsum(per_word[at])])
         chosen = []
         for i, (a, b) in enumerate(windows):
@@ -157,6 +160,16 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int
     return Model(vectors, weights, bias)
 
 
+def _word_means(per_bucket: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The mean over each word's subwords, some words at a time."""
+    out = np.empty(len(offsets) - 1)
+    for start in range(0, len(out), 20_000):
+        stop = min(len(out), start + 20_000)
+        own = offsets[start : stop + 1]
+        out[start:stop] = np.add.reduceat(per_bucket[flat[own[0] : own[-1]]], own[:-1] - own[0]) / np.diff(own)
+    return out
+
+
 def _stretch(rng: np.random.Generator, start: int, end: int, most: int = 96) -> tuple[int, int]:
     first = int(rng.integers(start, max(start, end - most) + 1))
     return first, min(end, first + most)
@@ -186,8 +199,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = y.groupBy("id").agg(F.max("label").alias("label"))
     # the same rows at every run: those of the smallest hashes
     y = y.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    got = x.join(F.broadcast(y), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), "label").orderBy("id", F.xxhash64("text")).limit(2 * sample_rows).toPandas()
-    return train(got["text"].tolist(), got["label"].to_numpy(np.float64), **options)
+    sample = x.join(F.broadcast(y), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label"))
+    sample = sample.orderBy("id", F.xxhash64("text")).limit(2 * sample_rows).select("text", "label")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("label", pa.float64())])).combine_chunks()
+        if got.num_rows:
+            model = train(got.column("text").chunk(0), got.column("label").to_numpy(), **options)
+            yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.per_bucket.tobytes()], pa.binary())], names=["bias", "logits"])
+
+    # the bounded sample is one task's work on an executor; only a number for each bucket reaches the driver
+    learned = sample.coalesce(1).mapInArrow(learn, "bias double, logits binary").collect()
+    if not learned:
+        return train([], np.zeros(0), **options)
+    model = Model(np.zeros((1, 1)), np.zeros(1), learned[0].bias)
+    model.per_bucket = np.frombuffer(learned[0].logits, np.float32)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", size: int = PASSAGE) -> DataFrame:
