@@ -203,9 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = sample.orderBy("id", F.xxhash64("text")).limit(2 * sample_rows).select("text", "label")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("label", pa.float64())])).combine_chunks()
-        if got.num_rows:
-            model = train(got.column("text").chunk(0), got.column("label").to_numpy(), **options)
+        held = [b for b in batches if b.num_rows]
+        if held:
+            texts = pa.concat_arrays([b.column(0) for b in held])
+            model = train(texts, np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]), **options)
             yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.per_bucket.tobytes()], pa.binary())], names=["bias", "logits"])
 
     # the bounded sample is one task's work on an executor; only a number for each bucket reaches the driver
