@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept by one Python worker; of a full table the rarer half is dropped, which costs time and changes nothing.
-TABLE_WORDS = 800_000
+TABLE_WORDS = 600_000
 #: Bytes of text handled at a time.
 CHUNK_BYTES = 4_000_000
 
@@ -119,7 +119,7 @@ class TokenTable:
                 texts[i] = ""
             text = "\n".join(texts)
         found = _PIECES.findall(text.lower())
-        if len(self.pieces) > self.limit:
+        if len(self.pieces) > self.limit // 4:
             self.pieces = {"\n": []}
         for piece in set(found).difference(self.pieces):
             self.pieces[piece] = self._piece(piece)
