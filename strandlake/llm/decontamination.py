@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .words import rows
+from .words import rows, trim
 
 #: Edits allowed for each normalised character of an item.
 RATE = 0.05
@@ -187,6 +187,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             for b in batches:
                 keep = [not matcher.find(normal(t)) for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))
+                trim()
 
         return run
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from . import common
 from .anchors import mix
-from .words import WordTable, rows, split
+from .words import WordTable, rows, split, trim
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -208,6 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             texts = pa.concat_arrays([b.column(0) for b in held])
             model = train(texts, np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]), **options)
             yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.per_bucket.tobytes()], pa.binary())], names=["bias", "logits"])
+            del texts, held
+            trim()
 
     # the bounded sample is one task's work on an executor; only a number for each bucket reaches the driver
     learned = sample.coalesce(1).mapInArrow(learn, "bias double, logits binary").collect()
