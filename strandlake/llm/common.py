@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """All matches, leftmost and non-overlapping, as array<struct<start,end,match>>; code points, end exclusive.
+def spans_of(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All matches (that keep, if given, is true of), leftmost and non-overlapping, as array<struct<start,end,match>>; code points, end exclusive.
 
     split() and regexp_extract_all() walk the same matches, so the lengths of what lies between
     them and of the matches themselves add up to positions.
@@ -65,10 +66,8 @@ def spans_of(text: Column, pattern: str) -> Column:
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"),
-        )
+        more = F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))))
+        return F.struct(end.alias("at"), (F.when(keep(x["match"]), more).otherwise(state["out"]) if keep else more).alias("out"))
 
     zipped = F.zip_with(
         F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), found,

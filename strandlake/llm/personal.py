@@ -3,7 +3,8 @@
 The patterns find protected entities of four kinds. Over the whole corpus, words near entities of a kind are
 counted against the same words anywhere. Pointwise mutual information says how much a word reveals that an
 entity of the kind is near; divided by the kind's own information content it is 1 for a word that occurs nowhere
-else. Words that reach the threshold are spans of kind term: sanitising generalises them, or removes the plainest.
+else. Words that reach the threshold are spans of kind term wherever they stand, in texts without entities too:
+sanitising generalises them, or removes the plainest.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ REACH = 60
 SUPPORT = 30
 #: Share of the kind's information from which a word is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.9, 0.99
+#: Slots of the table of revealing words that goes to the texts.
+SLOTS = 4096
 
 
 def _digits(s: Column) -> Column:
@@ -81,13 +84,33 @@ def _near(text: Column, span: Column, reach: int) -> Column:
     return F.concat(moved(left, low), moved(right, span["end"]))
 
 
+def _slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
+
+
+def _slots(known: DataFrame) -> DataFrame:
+    """term, disclosure -> one row with an array of slots; a word's slot holds the few terms of its hash."""
+    of_slot = known.groupBy(_slot(F.col("term")).alias("slot")).agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
+    none = F.expr("cast(array() as array<struct<term:string,disclosure:double>>)")
+    every = known.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(of_slot, "slot", "left")
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("terms", none).alias("terms")))).alias("all"))
+    return listed.select(F.transform("all", lambda x: x["terms"]).alias("slots"))
+
+
+def _told(text: Column) -> Column:
+    """The revealing words that a text holds, with their disclosure; the table is in ``slots``."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    return F.flatten(F.transform(words, lambda w: F.filter(F.element_at("slots", _slot(w) + 1), lambda x: x["term"] == w)))
+
+
 def scan_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """Entities and revealing terms of every whole text.
 
     Returns the id, the text (null: empty), ``spans`` (array<struct<start,rank,kind,end,match>> of kinds email,
     ip, card, phone and term, by start and then in that order) and ``disclosed`` (map from a term's lower-case form to its
     disclosure). One row for each input row, repeated rows and null ids too; an empty table gives an
-    empty result; other columns are not read. A word near two entities is one span.
+    empty result; other columns are not read. A revealing word is a span wherever it stands, unless it lies within an
+    entity, whose span covers it; a word near two entities is one span.
     """
     docs = common.pick(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     entities = _with_entities(docs)
@@ -112,22 +135,35 @@ def scan_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = F.log2((F.col("k") / F.col("n")) / share) / -F.log2(share)
     revealing = together.where(F.col("k") >= support).join(anywhere, "term").withColumn("disclosure", told).where((share < 1) & (F.col("disclosure") >= generalise))
 
-    terms = near.join(revealing.select("kind", "term", "disclosure"), ["kind", "term"]).groupBy("row").agg(
-        F.collect_set(F.struct("start", "end", "match")).alias("terms"),
-        F.collect_set(F.struct("term", "disclosure")).alias("told"),
-    )
+    revealing, _ = common.materialise(revealing.select("kind", "term", "disclosure"), "revealing")
+    # a term of two kinds: the larger disclosure counts
+    known = revealing.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
     empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
     no_terms = F.expr("cast(map() as map<string,double>)")
     kinds = [(k, F.col(k)) for k in KINDS]
-    # a term near entities of two kinds: the larger disclosure counts
-    as_map = F.map_from_entries(F.transform(F.array_distinct(F.transform("told", lambda x: x["term"])), lambda t: F.struct(
-        t.alias("key"), F.array_max(F.transform(F.filter("told", lambda x: x["term"] == t), lambda x: x["disclosure"])).alias("value"))))
-    out = holders.join(terms, "row", "left").select(
-        "id", "text", common.in_order(*kinds, ("term", F.coalesce("terms", empty))).alias("spans"),
-        F.when(F.col("told").isNull(), no_terms).otherwise(as_map).alias("disclosed"),
+    rest = entities.where(~any_found)
+    if revealing.isEmpty():
+        plain = lambda df: df.select("id", "text", common.in_order(*kinds, ("term", empty)).alias("spans"), no_terms.alias("disclosed"))
+        return plain(holders).unionByName(plain(rest)).toDF(id_col, text_col, "spans", "disclosed")
+
+    # a letter run that an entity cuts is a word only beside the entity
+    beside = near.join(revealing.select("kind", "term"), ["kind", "term"]).join(known, "term").groupBy("row").agg(
+        F.collect_set(F.struct("start", "end", "match")).alias("beside"),
+        F.collect_set(F.struct("term", "disclosure")).alias("told_beside"),
     )
-    rest = entities.where(~any_found).select("id", "text", common.in_order(*kinds, ("term", empty)).alias("spans"), no_terms.alias("disclosed"))
-    return out.unionByName(rest).toDF(id_col, text_col, "spans", "disclosed")
+    slots, _ = common.materialise(_slots(known), "slots")
+    no_told = F.expr("cast(array() as array<struct<term:string,disclosure:double>>)")
+    some = holders.join(beside, "row", "left").drop("row").unionByName(rest.withColumns({"beside": empty, "told_beside": no_told}))
+    inside = lambda s: F.exists(each, lambda e: (e["start"] <= s["start"]) & (s["end"] <= e["end"]))
+    held = lambda w: F.exists("told", lambda x: x["term"] == F.lower(w))
+    words = F.when(F.size("told") > 0, F.filter(common.spans_of(F.col("text"), TERM, held), lambda s: ~inside(s))).otherwise(empty)
+    out = some.crossJoin(F.broadcast(slots)).withColumn("told", _told(F.col("text"))).drop("slots")
+    out = out.withColumn("terms", F.array_union(words, F.coalesce("beside", empty)))
+    of_spans = lambda x: F.exists("terms", lambda s: F.lower(s["match"]) == x["term"])
+    out = out.withColumn("told", F.filter(F.array_union("told", F.coalesce("told_beside", no_told)), of_spans))
+    out = out.select("id", "text", common.in_order(*kinds, ("term", F.col("terms"))).alias("spans"), F.map_from_entries("told").alias("disclosed"))
+    return out.toDF(id_col, text_col, "spans", "disclosed")
 
 
 def _tagged(kind: str):

@@ -90,6 +90,25 @@ def test_terms_against_counts(spark):
     assert clean[1] == texts[1]
 
 
+def test_revealing_words_far_from_entities(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 6)))
+    far = lambda: " ".join(word() for _ in range(40))
+    texts = [f"{far()} Kontaktadresse: {word()}@mail.example {far()}" for _ in range(40)] + [far() for _ in range(160)]
+    texts[0] += " kontaktadresse again"  # in a text with an entity, but out of reach
+    texts[100] = f"KONTAKTADRESSE {texts[100]} Kontaktadresse."  # in a text without any
+    texts[1] += " ask kontaktadresse@mail.example"  # within an entity
+    _, terms = revealing(texts, 60, 30, 0.9)
+    assert terms == {("email", "kontaktadresse")}
+    want = {(i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer("kontaktadresse(?!@)", t, re.I)}
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[100]), (0, texts[0])], "doc_id long, text string")
+    rows = personal.scan_personal(df).collect()
+    assert len(rows) == 202 and {(r.doc_id, s.start, s.end) for r in rows if r.doc_id is not None for s in r.spans if s.kind == "term"} == want
+    assert len([s for r in rows if r.doc_id is None for s in r.spans]) == 2 and all(set(r.disclosed) == {s.match.lower() for s in r.spans if s.kind == "term"} for r in rows)
+    clean = [r.text.lower() for r in personal.sanitised(df).collect()]
+    assert len(clean) == 202 and not any("kontaktadresse" in t for t in clean)
+
+
 def test_patterns_are_linear(spark):
     df = spark.range(4).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.repeat(F.lit("a"), 200000), F.repeat(F.lit("1"), 200000), F.repeat(F.lit("+1"), 1000)).alias("text"))
     assert personal.scan_personal(df).count() == 4
