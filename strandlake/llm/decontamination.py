@@ -3,11 +3,13 @@
 A test item may be altered by a budget of edits, a fixed share of its length. Cut into one piece more than
 that, it leaves at least one piece untouched in any altered copy. An Aho-Corasick automaton finds all
 pieces in one walk over a text; around the hits Myers' bit-parallel recurrence computes the edit distance.
+Short items are looked for as they are, as whole words.
 Nothing is shuffled: the items, in blocks of bounded size, go to the texts.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from .words import rows, trim
 
 #: Edits allowed for each normalised character of an item.
 RATE = 0.05
-#: Items of fewer normalised characters say too little to tell a leak and are not looked for.
+#: Items of fewer normalised characters say too little when altered or within a word: exact copies between word boundaries only.
 MIN_CHARS = 30
 #: Bytes of items in one automaton; more items make more walks, not a larger broadcast.
 BLOCK_BYTES = 4_000_000
@@ -64,15 +66,26 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
+#: Scripts that write words without spaces: any place is a boundary.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _within_word(a: str, b: str) -> bool:
+    """Whether no word boundary lies between two neighbouring characters, either of which may be empty."""
+    joins = lambda c: c and (c == "_" or unicodedata.category(c)[0] in "LMN") and not _UNSPACED.match(c)
+    return bool(joins(a) and joins(b))
+
+
 class Matcher:
     def __init__(self, items: list[tuple], rate: float, min_chars: int):
         self.items, self.automaton = [], ahocorasick.Automaton()
         for item_id, text in items:
             text = normal(text)
-            if len(text) < min_chars:
+            if not text:
                 continue
-            n, edits = len(self.items), int(len(text) * rate)
-            self.items.append((item_id, text, edits))
+            whole = len(text) < min_chars
+            n, edits = len(self.items), 0 if whole else int(len(text) * rate)
+            self.items.append((item_id, text, edits, whole))
             for p in range(edits + 1):
                 a, b = p * len(text) // (edits + 1), (p + 1) * len(text) // (edits + 1)
                 piece = text[a:b]
@@ -83,14 +96,19 @@ class Matcher:
         """(item id, distance, start, end) of each item's best match in a normalised text."""
         if not self.items:
             return []
-        hits = defaultdict(set)
+        hits, short = defaultdict(set), {}
         for end, (found) in self.automaton.iter(text):
             for n, a in found:
+                if self.items[n][3]:
+                    start, after = end + 1 - len(self.items[n][1]), end + 1
+                    if n not in short and not _within_word(text[max(0, start - 1) : start], text[start]) and not _within_word(text[end], text[after : after + 1]):
+                        short[n] = (self.items[n][0], 0, start, after)
+                    continue
                 # where the item would start if nothing before the piece was altered
                 hits[n].add((end, a))
-        out = []
+        out = list(short.values())
         for n, places in hits.items():
-            item_id, pattern, edits = self.items[n]
+            item_id, pattern, edits, _ = self.items[n]
             m = len(pattern)
             starts = sorted({end + 1 - (min(m, (i + 1) * m // (edits + 1))) for end, a in places for i in [_piece_of(a, m, edits)]})
             best, k = None, 0
@@ -142,6 +160,8 @@ def _shared(spark, items: list[tuple], rate: float, min_chars: int):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The test items that each whole text holds, altered by at most ``rate`` edits a character.
 
+    Items of fewer than ``min_chars`` normalised characters are found unaltered, between word boundaries.
+
     Returns a row for each input row and item found: the id, item_id, distance, and start and end (long, code
     points of the normalised text) of the best match, the first of equals. Null and empty texts or items match nothing;
     null ids and repeated rows are rows of their own; items of one id with several texts give a row for each text; without documents or items the result

@@ -71,6 +71,18 @@ def test_planted_edits_against_brute_force(spark):
     assert dc.find_leaks(df.limit(0), bench).collect() == [] and dc.find_leaks(df, bench.limit(0)).collect() == []
 
 
+def test_short_items(spark):
+    items = [(1, "What  is DNA?"), (2, "cat"), (3, " \n"), (4, "首都是哪里"), (5, None), (6, "é")]
+    texts = ["so: what is\ndna? ok", "concatenate cats", "a CAT.", "中国的首都是哪里呢", "caf\u0065\u0301", "what is dnа?", "concat cat", "", None, "x e\u0301", "what is dna!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [(0, 1, 0, 4, 16), (2, 2, 0, 2, 5), (3, 4, 0, 3, 8), (6, 2, 0, 7, 10), (9, 6, 0, 2, 3)]
+    for block in (4_000_000, 8):
+        assert sorted(map(tuple, dc.find_leaks(df, bench, block_bytes=block).collect())) == want
+        kept = dc.decontaminated(df, bench, block_bytes=block).collect()
+        assert sorted(r.doc_id for r in kept) == [1, 4, 5, 7, 8, 10]
+
+
 def test_documents(spark):
     found = {(r.doc_id, r.item_id) for r in op8_decontamination(spark, "/root/testdata/sf0.01").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
