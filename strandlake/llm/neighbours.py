@@ -30,6 +30,8 @@ RECALL = 0.96
 BUCKET = 1024
 #: Members of a bucket handled at once; larger buckets are split.
 BLOCK = 2048
+#: Probes that are made at once.
+PROBE_ROWS = 1 << 18
 
 
 class Hasher:
@@ -130,21 +132,27 @@ def _best(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, k: int) ->
 
 def _probe_limit(hasher: Hasher, queries: np.ndarray, near: list[np.ndarray], recall: float) -> int:
     """The least number of probes per table that finds the wanted share of the sample's neighbours."""
-    n = min((2 * hasher.dim) ** hasher.functions, 4096)
+    every = (2 * hasher.dim) ** hasher.functions
+    n = min(every, 4096)
     if not near:
         return 1
-    ranks = []
     q = hasher.unit(queries, False)
-    orders = [hasher.probes(q, t, n) for t in range(hasher.tables)]
-    for i, vectors in enumerate(near):
-        members = hasher.unit(vectors, True)
-        best = np.full(len(members), n)
-        for t in range(hasher.tables):
-            place = {int(b): j for j, b in enumerate(orders[t][i])}
-            best = np.minimum(best, [place.get(int(b), n) for b in hasher.buckets(members, t)])
-        ranks.append(best)
-    ranks = np.sort(np.concatenate(ranks))
-    return int(min(n, ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] + 1))
+    filed = [[hasher.buckets(hasher.unit(v, True), t) for t in range(hasher.tables)] for v in near]
+    while True:
+        ranks = []
+        for i, buckets in enumerate(filed):
+            best = np.full(len(buckets[0]), n)
+            for t, b in enumerate(buckets):
+                probes = hasher.probes(q[i : i + 1], t, n)[0]
+                order = np.argsort(probes)
+                at = order[np.minimum(np.searchsorted(probes, b, sorter=order), n - 1)]
+                best = np.minimum(best, np.where(probes[at] == b, at, n))
+            ranks.append(best)
+        ranks = np.sort(np.concatenate(ranks))
+        last = ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)]
+        if last < n or n == every:
+            return int(min(n, last + 1))
+        n = min(every, 4 * n)  # as far as all buckets, which is an exact scan
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = TABLES, recall: float = RECALL, sample_queries: int = SAMPLE_QUERIES, bucket: int = BUCKET) -> DataFrame:
@@ -217,8 +225,9 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     def file_under(probes: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for start in range(0, whole.num_rows, 2048):
-                    b = whole.slice(start, 2048)
+                step = max(1, min(2048, PROBE_ROWS // (probes or 1)))
+                for start in range(0, whole.num_rows, step):
+                    b = whole.slice(start, step)
                     given = _matrix(b.column(1), size)
                     packed = pa.array([v.tobytes() for v in given.astype(raw)], pa.binary())
                     x = hasher.unit(given, probes is None)

@@ -70,3 +70,13 @@ def test_many_functions():
     for t in range(2):
         probes = hasher.probes(u, t, 10)
         assert (probes[:, 0] == hasher.buckets(u, t)).all() and all(len(set(p)) == 10 for p in probes.tolist())
+
+
+def test_probes_reach_the_recall():
+    rng = np.random.default_rng(3)
+    hasher = neighbours.Hasher(64, 1, 2, 1.0)
+    x = rng.normal(size=(4, 64))
+    near = [-v[None, :] / np.linalg.norm(v) for v in x]  # about the last of 16384 buckets
+    limit = neighbours._probe_limit(hasher, x, near, 1.0)
+    probes = hasher.probes(hasher.unit(x, False), 0, limit)
+    assert 4096 < limit <= 16384 and all(hasher.buckets(hasher.unit(v, True), 0)[0] in p for v, p in zip(near, probes))
