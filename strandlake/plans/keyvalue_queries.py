@@ -143,12 +143,18 @@ def _median_key(pairs: DataFrame) -> int:
 @query(f"WITH {PAIRS}, p AS (SELECT key, key % 8 AS part FROM pairs), r AS (SELECT unnest(range(0, 6)) AS round) SELECT round, CAST(count(*) FILTER (part > round) AS BIGINT) AS old_left, CAST(count(*) FILTER (part <= round) AS BIGINT) AS added, CAST(0 AS BIGINT) AS misses FROM p, r GROUP BY round")
 def filter_sawtooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each round deletes one part and adds a new one; what should be there is looked up."""
-    p = _pairs(spark, sf_dir).select("key", (F.col("key") % 8).alias("part"))
-    rounds = p.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
-    # after a round the table holds the old parts above it and the new parts up to it
-    state = rounds.where(F.col("part") > F.col("round")).select("round", "key", F.lit(False).alias("new")).unionByName(
-        rounds.where(F.col("part") <= F.col("round")).select("round", (-F.col("key")).alias("key"), F.lit(True).alias("new")))
-    return state.groupBy("round").agg(F.count_if(~F.col("new")).alias("old_left"), F.count_if(F.col("new")).alias("added"), F.count_if(F.col("key").isNull()).alias("misses"))
+    pairs = _pairs(spark, sf_dir)
+    part, new = F.col("key") % 8, F.bitwise_not("key").alias("key")
+    held, out = pairs, None
+    for i in range(6):
+        gone = pairs.where(part == i)
+        held = kv.append(kv.remove_one(held, gone.select("key")), gone.select(new, "val"))
+        # after a round the table holds the old parts above it and the new parts up to it
+        asked = pairs.where(part > i).select("key").unionByName(pairs.where(part <= i).select(new))
+        filled = held.groupBy(F.lit(i).cast("long").alias("round")).agg(F.count_if(F.col("key") >= 0).alias("old_left"), F.count_if(F.col("key") < 0).alias("added"))
+        row = filled.join(kv.missing(held, asked).agg(F.count("*").alias("misses")))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 HASH = "('0x' || substr(md5(CAST(key AS VARCHAR)), 1, 8))::BIGINT"
