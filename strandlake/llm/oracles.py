@@ -82,9 +82,8 @@ def _found(kind: str, pattern: str, keep: str = "true", source: str = "docs", ke
 def _secrets() -> str:
     value = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
     assign = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
-    harmless = " OR ".join(
-        f"regexp_matches(m, {_quoted(p)})" if r"\1" not in p else "length(replace(m, substr(m, 1, 1), '')) = 0" for p in secrets.ALLOW
-    )
+    harmless = " OR ".join(f"regexp_matches(m, {_quoted(p)})" for p in secrets.ALLOW_WHOLE)
+    allowed = _quoted(secrets.allowed(secrets.ALLOW))
     limit = "CASE " + " ".join(f"WHEN regexp_matches(m, {_quoted(shape)}) THEN {bits}" for _, shape, bits in secrets.CLASSES) + " END"
     kinds = ["assign", "access", "hex", "entropy"]
     union = " UNION ALL ".join(f"SELECT rid, a, {i} AS rank, '{k}' AS kind, b FROM {k}" for i, k in enumerate(kinds))
@@ -94,7 +93,10 @@ def _secrets() -> str:
 {_found("access", "AKIA[A-Z0-9]+", "length(m) >= 20")},
 {_found("hex", "[0-9a-f]{24,}")},
 {_found("candidate", "[A-Za-z0-9+/_=-]{20,}", f"NOT ({harmless})")},
-windows AS (SELECT rid, a, m, unnest(range(0, length(m) - 19)) AS i FROM candidate),
+cut AS (SELECT rid, a, row_number() OVER () AS cid, string_split_regex(m, {allowed}) AS g, list_concat(regexp_extract_all(m, {allowed}), ['']) AS s FROM candidate),
+parts AS (SELECT rid, a, cid, unnest(g) AS m, unnest(s) AS s, generate_subscripts(g, 1) AS i FROM cut),
+pieces AS (SELECT rid, m, (a + sum(length(m) + length(s)) OVER w - length(m) - length(s))::BIGINT AS a FROM parts WINDOW w AS (PARTITION BY cid ORDER BY i)),
+windows AS (SELECT rid, a, m, unnest(range(0, length(m) - 19)) AS i FROM pieces WHERE length(m) >= 20),
 high AS (SELECT rid, a, m, i FROM windows WHERE list_aggregate(string_split(substr(m, i + 1, 20), ''), 'entropy') >= {limit}),
 entropy AS (SELECT rid, a + min(i) AS a, a + max(i) + 20 AS b FROM high GROUP BY rid, a, m),
 spans AS ({union}),

@@ -2,9 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
+import pyarrow as pa
+
 from strandlake.llm import secrets
 from strandlake.llm.common import joined
 from strandlake.llm.queries import _counted
@@ -17,6 +21,8 @@ TEXTS = [
     "id 123e4567-e89b-12d3-a456-426614174000 blob Zm9vYmFyQmF6MTIzNDU2Nzg5MEFCQ0RFRg==",
     "x" * 5000 + " passwd: hunter22hunter22 " + "y" * 3000, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
     "9aF3kQ7zLm2XvB8cN4tR5yW1pS6dG0hJ" * 3, "token==abcdef", "\u0001token=abcdef\u0002" * 2, "\U0001f600 token=abcdefg",
+    "é /data/users/keys/9aF3kQ7zLm2XvB8cN4tR5yW1pS6dG0hJ4kT8 x", "example_db=9aF3kQ7zLm2XvB8cN4tR5yW1 Zx9aF3kQ7zLm2XvB8cN4tR5yW1EXAMPLE9aF3kQ7zLm2XvB8cN4tR5yW1q",
+    "EXAMPLE" * 5 + " /ab/cd/ef/g1/" + "/ab" * 2000 + " changeme9aF3kQ7zLm2XvB8cN4tR5yW1pSyour_api", "9aF3kQ7zLm2XvB8cN4tR5yW1 " * 700 + "token=abcdefg " * 600,
 ]
 
 
@@ -30,15 +36,21 @@ def base(text):
 
 def entropy(text, window=20):
     out = []
+    h = lambda w: -sum(c / window * math.log2(c / window) for c in Counter(w).values())
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
-        s = m[0]
-        if any(re.search(p, s) for p in secrets.ALLOW):
+        if any(re.search(p, m[0]) for p in secrets.ALLOW_WHOLE):
             continue
-        limit = next(b for _, shape, b in secrets.CLASSES if re.search(shape, s))
-        h = lambda w: -sum(c / window * math.log2(c / window) for c in Counter(w).values())
-        hits = [i for i in range(len(s) - window + 1) if h(s[i : i + window]) >= limit - 1e-9]
-        if hits:
-            out.append((m.start() + hits[0], 3, "entropy", m.start() + hits[-1] + window))
+        at, pieces = 0, []
+        for harmless in re.finditer("|".join(secrets.ALLOW), m[0], re.I):
+            pieces.append((at, m[0][at : harmless.start()]))
+            at = harmless.end()
+        for start, s in [*pieces, (at, m[0][at:])]:
+            if len(s) < window:
+                continue
+            limit = next(b for _, shape, b in secrets.CLASSES if re.search(shape, s))
+            hits = [i for i in range(len(s) - window + 1) if h(s[i : i + window]) >= limit - 1e-9]
+            if hits:
+                out.append((m.start() + start + hits[0], 3, "entropy", m.start() + start + hits[-1] + window))
     return out
 
 
@@ -61,6 +73,54 @@ def test_empty_table(spark):
     assert secrets.scan_secrets(df).select(joined(secrets.F.col("spans"))).collect() == []
 
 
+def test_against_sql(spark):
+    import duckdb
+
+    from strandlake.llm.oracles import ORACLES
+    from strandlake.llm.queries import op10_secret_scan
+
+    con = duckdb.connect()
+    documents = pa.table({"doc_id": pa.array(range(len(TEXTS)), pa.int64()), "text": TEXTS})
+    con.register("documents", documents)
+    want = sorted(con.sql(ORACLES["op10_secret_scan"]).select("doc_id, spans, n_entropy").fetchall())
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = _counted(secrets.scan_secrets(df), ["assign", "access", "hex", "entropy"], ["assign", "access", "hex"])
+    assert sorted((r.doc_id, r.spans, r.n_entropy) for r in got.collect()) == want
+    assert op10_secret_scan.__name__ in ORACLES
+
+
+def test_a_long_candidate_takes_seconds(spark):
+    rng = random.Random(4)
+    text = ("".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(500)) + "/usr/local/share/") * 2000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    spans = secrets.scan_secrets(df).collect()[0].spans
+    assert time.perf_counter() - start < 60 and len(spans) == 2000 and len(text) > 1_000_000
+    assert {s.match[:20] in text and s.kind for s in spans} == {"entropy"}
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é token=abcdefg1 " * 30_000
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.redact_secrets(rows).collect()[0]
+    assert got.n_secrets == 30_000 and got.text == "é [SECRET] " * 30_000
+
+
+def test_names_that_clash(spark):
+    rows = [(1, "a token=abcdefg b", "x", "y", 17, "z"), (2, "clean", None, "y", 5, "z"), (2, "clean", None, "y", 5, "z"), (3, None, "x", None, None, None), (4, "", "", "", 0, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, __text string, n_chars int, new string")
+    got = sorted(secrets.redacted_documents(df).collect())
+    assert got == [(1, "a [SECRET] b", "x", "y", 12, "z"), *sorted(rows[1:])] and secrets.redacted_documents(df).schema == df.schema
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        wide = spark.createDataFrame([(1, "a token=abcdefg b", "own", "kept")], "doc_id long, text string, Text string, __hex string")
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    got = secrets.redacted_documents(wide)
+    assert got.columns == ["doc_id", "text", "Text", "__hex"] and tuple(got.collect()[0]) == (1, "a [SECRET] b", "own", "kept")
+    assert secrets.redacted_documents(df.limit(0)).collect() == []
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdefg b"), (2, "clean"), (3, None), (4, "x token=" + "0a" * 15 + " y")], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_secrets) for r in secrets.redact_secrets(df).collect()}
