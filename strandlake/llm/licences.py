@@ -7,6 +7,8 @@ rules in their order: the first, most specific rules take their sentences away f
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,19 @@ SENTENCES = {
     "gpl3_notice": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3", "gnu general public license version 3"],
     "gpl2_notice": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "gnu general public license version 2"],
     "gpl_free_program": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
-    "gpl_no_warranty": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "gpl_no_warranty": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl_see": ["see the gnu general public license for more details"],
     "gpl_received": ["you should have received a copy of the gnu general public license along with this program"],
+    "lgpl_free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl_see": ["see the gnu lesser general public license for more details"],
+    "agpl_free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl_see": ["see the gnu affero general public license for more details"],
+    "free_software": ["this program is free software", "this library is free software"],
+    "gpl_terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "lgpl_terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "agpl_terms": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "hope": ["this program is distributed in the hope that it will be useful but without any warranty", "this library is distributed in the hope that it will be useful but without any warranty"],
+    "implied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "lgpl3_notice": ["licensed under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3"],
     "agpl3_notice": ["licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3"],
     "bsd_grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
@@ -46,6 +58,11 @@ SENTENCES = {
     "cc_by_sa_4": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc_by_4": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "cc0": ["licensed under cc0 1 0", "released under cc0 1 0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "epl2_notice": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "licensed under the eclipse public license 2 0", "licensed under the eclipse public license version 2 0"],
+    "zlib_as_is": ["this software is provided as is without any express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib_grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "bsl1_notice": ["distributed under the boost software license version 1 0", "licensed under the boost software license version 1 0", "boost software license version 1 0"],
+    "isc_notice": ["licensed under the isc license", "isc license"],
     "all_rights": ["all rights reserved"],
 }
 # Ordered rules: licence, sequence of sentence identifiers.
@@ -57,6 +74,12 @@ RULES = [
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
     ("GPL-notice", ["gpl_free_program", "gpl_no_warranty", "gpl_see", "gpl_received"]),
     ("GPL-notice", ["gpl_free_program", "gpl_no_warranty", "gpl_see"]),
+    ("LGPL-notice", ["lgpl_free", "gpl_no_warranty", "lgpl_see"]),
+    ("AGPL-notice", ["agpl_free", "gpl_no_warranty", "agpl_see"]),
+    ("GPL-notice", ["free_software", "gpl_terms", "hope", "implied", "gpl_see"]),
+    ("LGPL-notice", ["free_software", "lgpl_terms", "hope", "implied", "lgpl_see"]),
+    ("AGPL-notice", ["free_software", "agpl_terms", "hope", "implied", "agpl_see"]),
+    ("zlib", ["zlib_as_is", "zlib_grant"]),
     ("MPL-2.0", ["mpl2_notice", "mpl2_copy"]),
     ("MIT", ["mit_release"]),
     ("MIT", ["mit_grant"]),
@@ -64,12 +87,21 @@ RULES = [
     ("GPL-3.0", ["gpl3_notice"]),
     ("GPL-2.0", ["gpl2_notice"]),
     ("GPL-notice", ["gpl_free_program"]),
+    ("LGPL-notice", ["lgpl_free"]),
+    ("AGPL-notice", ["agpl_free"]),
+    ("GPL-notice", ["gpl_terms"]),
+    ("LGPL-notice", ["lgpl_terms"]),
+    ("AGPL-notice", ["agpl_terms"]),
     ("LGPL-3.0", ["lgpl3_notice"]),
     ("AGPL-3.0", ["agpl3_notice"]),
     ("BSD-3-Clause", ["bsd3_notice"]),
     ("BSD-2-Clause", ["bsd2_notice"]),
     ("MPL-2.0", ["mpl2_notice"]),
     ("ISC", ["isc_grant"]),
+    ("ISC", ["isc_notice"]),
+    ("EPL-2.0", ["epl2_notice"]),
+    ("zlib", ["zlib_grant"]),
+    ("BSL-1.0", ["bsl1_notice"]),
     ("Unlicense", ["unlicense"]),
     ("CC-BY-NC-4.0", ["cc_by_nc_4"]),
     ("CC-BY-SA-4.0", ["cc_by_sa_4"]),
@@ -77,21 +109,46 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("All-rights-reserved", ["all_rights"]),
 ]
-#: Every known sentence holds one of these, so that other texts need no cutting.
-GATE = "(?i)licen[sc]e|permission|warrant|redistribut|liable|copyright|gnu|mpl|public domain|rights reserved|cc0|in compliance|free software|bsd"
+# Parts that vary between copies of a sentence: pattern on the normal form, and what stands for it.
+VARIABLE = [
+    ("^(neither the name of) .+ (nor the names of) (?:its|the|their) (contributors may be used) ", "the copyright holder"),
+]
 LINES = r"(?<=[.!?:;])\s+|[\r\n]+"
 PARAGRAPHS = r"(?<=[.!?:;])\s+|\r?\n\s*\n\s*"
 
 
-def _normal(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+def gate_words(sentences: dict[str, list[str]]) -> list[str]:
+    """Words of which every known sentence holds one, so that a text without any needs no cutting.
 
-
-def _identified(text: Column, cut: str, sentences: dict[str, list[str]]) -> Column:
+    Single words: whatever a text puts between the words of a sentence (line ends, spaces, marks) doesn't matter. The letter
+    k is left out, since other characters than K become k in lower case. Words that meet most sentences come first.
+    """
+    left = {form: {w for w in form.split() if "k" not in w} for forms in sentences.values() for form in forms}
+    able = lambda words: {w for w in words if len(w) >= 6} or {w for w in words if len(w) >= 4} or words
+    left = {form: able(words) for form, words in left.items()}
+    found = []
+    while left:
+        counts = Counter(w for words in left.values() for w in words)
+        if not counts:
+            return []
+        best = min(counts, key=lambda w: (-counts[w], -len(w), w))
+        found.append(best)
+        left = {form: words for form, words in left.items() if best not in words}
+    return found
+
+
+def _normal(s: Column, variable: list[tuple]) -> Column:
+    s = F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    for pattern, name in variable:
+        s = F.regexp_replace(s, pattern, f"$1 {name} $2 its $3 ")
+    return s
+
+
+def _identified(text: Column, cut: str, sentences: dict[str, list[str]], variable: list[tuple]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for key, forms in sentences.items() for form in forms for x in (form, key)])
     longest = max(len(f) for forms in sentences.values() for f in forms)
-    plain = F.filter(F.transform(F.split(text, cut, -1), _normal), lambda s: (F.length(s) > 0) & (F.length(s) <= longest))
+    plain = F.filter(F.transform(F.split(text, cut, -1), lambda s: _normal(s, variable)), lambda s: (F.length(s) > 0) & (F.length(s) <= longest))
     return F.filter(F.transform(plain, lambda s: F.element_at(known, s)), lambda k: k.isNotNull())
 
 
@@ -109,7 +166,7 @@ def _matched(ids: Column, rules: list[tuple]) -> Column:
     return F.aggregate(listed, start, step, lambda s: F.array_distinct(s["found"]))
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple] = RULES, gate: str = GATE) -> DataFrame:
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple] = RULES, variable: list[tuple] = VARIABLE) -> DataFrame:
     """Licences that each whole text names or holds.
 
     Returns the id, ``sentences`` (array of the identifiers met, cutting at lines too), and ``licences`` (array, in the order
@@ -118,7 +175,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = common.pick(docs, id_col, text_col).toDF("id", "text")
     t, none = F.col("text"), F.expr("cast(array() as array<string>)")
-    some = lambda cut: F.when(t.rlike(gate), _identified(t, cut, sentences)).otherwise(none)
+    words = gate_words(sentences)
+    gate = t.rlike("(?i)" + "|".join(words)) if words else F.lit(True)
+    some = lambda cut: F.when(gate, _identified(t, cut, sentences, variable)).otherwise(none)
     cut = docs.select("id", some(LINES).alias("lines"), some(PARAGRAPHS).alias("paragraphs"))
     found = lambda ids: F.when(F.size(ids) > 0, _matched(F.col(ids), rules)).otherwise(none)
     return cut.select(F.col("id").alias(id_col), F.col("lines").alias("sentences"), F.array_distinct(F.concat(found("lines"), found("paragraphs"))).alias("licences"))

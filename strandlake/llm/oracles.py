@@ -51,12 +51,15 @@ def _licences() -> str:
     # RE2 looks at nothing behind a place, so white space after a sentence's end becomes a mark first
     ended = "regexp_replace(coalesce(text, ''), '([.!?:;])\\s+', '\\1\u0001', 'g')"
     cuts = [f"regexp_replace({ended}, '[\\r\\n]+', '\u0001', 'g')", f"regexp_replace({ended}, '\\r?\\n\\s*\\n\\s*', '\u0001', 'g')"]
+    normal = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, name in licences.VARIABLE:
+        normal = f"regexp_replace({normal}, {_quoted(pattern)}, {_quoted(chr(92) + f'1 {name} ' + chr(92) + '2 its ' + chr(92) + '3 ')})"
     steps = [
         "WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)",
         f"known(form, key) AS (VALUES {known})",
         "parts AS (" + " UNION ALL ".join(f"SELECT rid, {c} AS cut, string_split({e}, '\u0001') AS p FROM docs" for c, e in enumerate(cuts)) + ")",
         "each AS (SELECT rid, cut, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM parts)",
-        "met AS (SELECT rid, cut, i, key FROM each JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = form)",
+        f"met AS (SELECT rid, cut, i, key FROM each JOIN known ON {normal} = form)",
         "r0 AS (SELECT rid, cut, count(*) AS n, ',,' || string_agg(key, ',,' ORDER BY i) || ',,' AS ids, []::VARCHAR[] AS names FROM met GROUP BY rid, cut)",
     ]
     for k, (name, sequence) in enumerate(licences.RULES):

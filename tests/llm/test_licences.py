@@ -2,7 +2,11 @@
 
 import re
 
+import duckdb
+import pyarrow as pa
+
 from strandlake.llm import licences
+from strandlake.llm.oracles import ORACLES
 from strandlake.llm.queries import op2_licences
 
 FORMS = {f: k for k, forms in licences.SENTENCES.items() for f in forms}
@@ -28,10 +32,15 @@ SOFTWARE.
 """
 
 
+def normal(part):
+    s = re.sub("[^a-z0-9]+", " ", part.lower()).strip()
+    return re.sub("^neither the name of .+ nor the names of (its|the|their) contributors may be used ", "neither the name of the copyright holder nor the names of its contributors may be used ", s)
+
+
 def plain(text):
     out, first = [], None
     for cut in (r"(?<=[.!?:;])\s+|[\r\n]+", r"(?<=[.!?:;])\s+|\r?\n\s*\n\s*"):
-        ids = [FORMS[s] for s in (re.sub("[^a-z0-9]+", " ", p.lower()).strip() for p in re.split(cut, text or "")) if s in FORMS]
+        ids = [FORMS[s] for s in (normal(p) for p in re.split(cut, text or "")) if s in FORMS]
         first = ids if first is None else first
         left = list(ids)
         for name, seq in licences.RULES:
@@ -68,7 +77,46 @@ def test_whole_texts_and_edge_cases(spark):
     assert licences.scan_licences(df.limit(0)).collect() == []
 
 
-def test_gate_holds_for_every_sentence():
-    for form in FORMS:
-        assert re.search(licences.GATE, form) and form == re.sub("[^a-z0-9]+", " ", form).strip()
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+* Neither the name of Example & Sons Ltd nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.
+"""
+
+
+def test_gate_drops_nothing(spark):
+    """Each form as it is, wrapped, with doubled spaces, hyphens and capitals, against the SQL, which has no gate."""
+    words = licences.gate_words(licences.SENTENCES)
+    assert all(any(w in form for w in words) and form == normal(form) for form in FORMS) and not any("k" in w for w in words)
     assert {k for _, seq in licences.RULES for k in seq} <= set(licences.SENTENCES)
+    texts = [BSD, AGPL, "This is free and unencumbered software released into the public\ndomain.", "All rights\nreserved.", "All  rights  reserved."]
+    for form in FORMS:
+        for between in ("\n", "  ", "-", " \t", "\u00a0"):
+            texts += [form.replace(" ", between), "x.\n\n" + form.upper().replace(" ", between) + ".\n\ny"]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}))
+    want = sorted(con.sql(ORACLES["op2_licences"]).select("doc_id, n_sentences, licences").fetchall())
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, len(r.sentences), ",".join(r.licences)) for r in got) == want
+    by = {r.doc_id: r.licences for r in got}
+    assert by[0] == ["BSD-3-Clause"] and by[1] == ["AGPL-notice"] and by[2] == ["Unlicense"] and by[3] == by[4] == ["All-rights-reserved"]
+    assert sum(bool(x) for x in by.values()) > 0.5 * len(texts)
