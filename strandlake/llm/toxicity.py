@@ -24,12 +24,17 @@ from .words import WordTable, rows, split, trim
 BUCKETS = 1 << 16
 DIM = 16
 PASSAGE = 6
-#: Subwords in fewer training documents than this keep a zero vector: one label alone can't be learned by heart.
+#: Subwords in fewer training documents than this keep a zero vector: one label alone can't be learned by heart. Samples with
+#: few rows of label 1 ask for a quarter of their number, and for two at least.
 MIN_DOCUMENTS = 8
+#: How far a subword's vector leans at the start towards how much more often it stands in documents of label 1.
+LEAN, PRIOR = 8.0, 0.5
 DECAY = 1e-4
 GRAMS = (3, 4, 5)
 #: Bound of the training sample: labelled rows of either class. All labelled rows are used if there are fewer.
 SAMPLE_ROWS = 6_000
+#: Bound of the sample's text: one task learns from it. Rows that come after it is reached, in the order of a hash, are left out.
+SAMPLE_BYTES = 256_000_000
 EPOCHS = 10
 
 
@@ -92,10 +97,11 @@ def passages(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, starts + size
 
 
-def train(texts: list[str] | pa.Array, labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, size: int = PASSAGE, epochs: int = EPOCHS, rate: float = 0.5, min_documents: int = MIN_DOCUMENTS, decay: float = DECAY, warm_up: int = 2, positive_weight: float = 2.0, trust: float = 0.7, seed: int = 17) -> Model:
+def train(texts: list[str] | pa.Array, labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, size: int = PASSAGE, epochs: int = EPOCHS, rate: float = 0.5, min_documents: int = MIN_DOCUMENTS, decay: float = DECAY, warm_up: int = 2, positive_weight: float = 2.0, trust: float = 0.7, lean: float = LEAN, prior: float = PRIOR, seed: int = 17) -> Model:
     """Joint gradient descent; each document is stood for by its currently most toxic passage.
 
-    A model of constant probability if either class is missing.
+    The first passages are chosen, and the descent starts, by the log odds of subwords over documents: with few rows of label 1
+    random passages hold too few of the words that matter. A model of constant probability if either class is missing.
     """
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.float64)
@@ -112,24 +118,28 @@ def train(texts: list[str] | pa.Array, labels: np.ndarray, buckets: int = BUCKET
     weights, bias = rng.normal(0, 0.3, dim), float(np.log(positive / (len(labels) - positive)))
     g_vectors, g_weights, g_bias = np.full(buckets, 1e-6), np.full(dim, 1e-6), 1e-6
     starts = np.concatenate([[0], ends[:-1]])
-    in_documents = np.zeros(buckets, np.int64)
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+    in_documents = np.zeros((2, buckets), np.int64)
+    for a, b, y in zip(starts.tolist(), ends.tolist(), labels.astype(int).tolist(), strict=True):
         own = np.unique(at[a:b])
         lengths = counts[own]
         stop = np.cumsum(lengths)
-        in_documents[np.unique(flat[np.repeat(offsets[own] - stop + lengths, lengths) + np.arange(stop[-1] if len(own) else 0)])] += 1
-    known = in_documents >= min_documents
+        in_documents[y, np.unique(flat[np.repeat(offsets[own] - stop + lengths, lengths) + np.arange(stop[-1] if len(own) else 0)])] += 1
+    known = in_documents.sum(axis=0) >= max(2, min(min_documents, int(positive) // 4))
     vectors[~known] = 0
+    # the start: how much more often a subword stands in documents of label 1
+    odds = np.log((in_documents[1] + prior) / (positive + 2 * prior)) - np.log((in_documents[0] + prior) / (len(labels) - positive + 2 * prior))
+    odds[~known] = 0
+    vectors += lean * odds[:, None] * weights / (weights @ weights)
     windows = [passages(int(e - s), size) for s, e in zip(starts, ends, strict=True)]
     for epoch in range(epochs):
-        # the passage of each document that the present model finds most toxic; long random ones at first
+        # the passage of each document that the present model finds most toxic
         per_word = _word_means((vectors @ weights).astype(np.float32), flat, offsets)
         sums = np.concatenate([[0.0], np.cumsum(per_word[at])])
         chosen = []
         for i, (a, b) in enumerate(windows):
             a, b = a + starts[i], b + starts[i]
             k = np.argmax((sums[b] - sums[a]) / np.maximum(1, b - a))
-            chosen.append((a[k], b[k]) if epoch else _stretch(rng, int(starts[i]), int(ends[i])))
+            chosen.append((a[k], b[k]))
         for part in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 64)):
             words = [at[chosen[i][0] : chosen[i][1]] for i in part]
             n_words = np.array([len(w) for w in words])
@@ -170,11 +180,6 @@ def _word_means(per_bucket: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -
     return out
 
 
-def _stretch(rng: np.random.Generator, start: int, end: int, most: int = 96) -> tuple[int, int]:
-    first = int(rng.integers(start, max(start, end - most) + 1))
-    return first, min(end, first + most)
-
-
 def best_passages(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """The largest mean of any passage of ``size`` words in a row (all words of shorter texts); 0 without words."""
     out = np.zeros(len(starts))
@@ -186,11 +191,12 @@ def best_passages(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, size:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", trainable=None, sample_rows: int = SAMPLE_ROWS, **options) -> Model:
-    """Learns from a sample of at most ``sample_rows`` labelled rows, taken by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", trainable=None, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, **options) -> Model:
+    """Learns from a sample of at most ``sample_rows`` labelled ids, taken by a hash of the id, and about ``sample_bytes`` of text.
 
     ``trainable`` is a condition on the id that rows for learning meet. Null labels and null ids are left out; an
-    id that is labelled twice counts with its largest label; texts are learned from whole.
+    id that is labelled twice counts with its largest label; texts are learned from whole. Repeated rows of an id are
+    learned from too, up to twice the sample's rows in all.
     """
     x = common.pick(docs, id_col, text_col).toDF("id", "text")
     y = common.pick(labels, id_col, label_col).toDF("id", "label").where("id is not null and label is not null")
@@ -200,10 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the same rows at every run: those of the smallest hashes
     y = y.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     sample = x.join(F.broadcast(y), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label"))
-    sample = sample.orderBy("id", F.xxhash64("text")).limit(2 * sample_rows).select("text", "label")
+    sample = sample.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(2 * sample_rows).select("text", "label")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held, size = [], 0
+        for b in batches:
+            if size < sample_bytes and b.num_rows:
+                held.append(b)
+                size += b.nbytes
         if held:
             texts = pa.concat_arrays([b.column(0) for b in held])
             model = train(texts, np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]), **options)
@@ -260,7 +270,11 @@ def _scorer(learned: tuple, size: int):
 
 
 def filtered(docs: DataFrame, model: Model, reject: float, text_col: str = "text", size: int = PASSAGE) -> DataFrame:
-    """The documents, with all their columns, whose score is below ``reject``."""
+    """The documents, with all their columns, whose score is below ``reject``.
+
+    A null or empty text is judged by the model's bias; repeated rows are judged alike and stay rows of their own; further
+    columns may have any names; an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.per_bucket, model.bias))
 
