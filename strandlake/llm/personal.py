@@ -103,31 +103,33 @@ def _told(text: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.filter(F.element_at("slots", _slot(w) + 1), lambda x: x["term"] == w)))
 
 
-def scan_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def scan_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, scratch: common.Scratch | None = None) -> DataFrame:
     """Entities and revealing terms of every whole text.
 
     Returns the id, the text (null: empty), ``spans`` (array<struct<start,rank,kind,end,match>> of kinds email,
     ip, card, phone and term, by start and then in that order) and ``disclosed`` (map from a term's lower-case form to its
     disclosure). One row for each input row, repeated rows and null ids too; an empty table gives an
     empty result; other columns are not read. A revealing word is a span wherever it stands, unless it lies within an
-    entity, whose span covers it; a word near two entities is one span.
+    entity, whose span covers it; a word near two entities is one span. The result reads tables of ``scratch``, the caller's, which
+    must last until it has been read (without one: until the driver ends).
     """
+    scratch = scratch or common.Scratch(docs.sparkSession)
     docs = common.pick(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     entities = _with_entities(docs)
     any_found = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
-    holders, _ = common.materialise(entities.where(any_found).withColumn("row", F.monotonically_increasing_id()), "holders")
+    holders = scratch.table(entities.where(any_found).withColumn("row", F.monotonically_increasing_id()), "holders")
 
     each = F.concat(*[F.transform(k, _tagged(k)) for k in KINDS])
     near = holders.select("row", "text", F.explode(each).alias("s")).select("row", F.col("s.kind").alias("kind"), F.explode(_near(F.col("text"), F.col("s"), reach)).alias("w"))
     near = near.select("row", "kind", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.match").alias("match"), F.lower("w.match").alias("term"))
-    near, _ = common.materialise(near, "near")
+    near = scratch.table(near, "near")
 
     # a word within reach of several entities of a kind counts once
     together = near.select("row", "kind", "start", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("k"))
     anywhere = docs.select(F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("w")).select(F.lower("w").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    anywhere, _ = common.materialise(anywhere, "words")
+    anywhere = scratch.table(anywhere, "words")
     total = anywhere.agg(F.sum("n")).first()[0]
-    together, _ = common.materialise(together, "together")
+    together = scratch.table(together, "together")
     content = {r.kind: r.k for r in together.groupBy("kind").agg(F.sum("k").alias("k")).collect()}
     share = F.lit(None).cast("double")
     for kind, k in content.items():
@@ -135,7 +137,7 @@ def scan_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = F.log2((F.col("k") / F.col("n")) / share) / -F.log2(share)
     revealing = together.where(F.col("k") >= support).join(anywhere, "term").withColumn("disclosure", told).where((share < 1) & (F.col("disclosure") >= generalise))
 
-    revealing, _ = common.materialise(revealing.select("kind", "term", "disclosure"), "revealing")
+    revealing = scratch.table(revealing.select("kind", "term", "disclosure"), "revealing")
     # a term of two kinds: the larger disclosure counts
     known = revealing.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
@@ -152,7 +154,7 @@ def scan_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.collect_set(F.struct("start", "end", "match")).alias("beside"),
         F.collect_set(F.struct("term", "disclosure")).alias("told_beside"),
     )
-    slots, _ = common.materialise(_slots(known), "slots")
+    slots = scratch.table(_slots(known), "slots")
     no_told = F.expr("cast(array() as array<struct<term:string,disclosure:double>>)")
     some = holders.join(beside, "row", "left").drop("row").unionByName(rest.withColumns({"beside": empty, "told_beside": no_told}))
     inside = lambda s: F.exists(each, lambda e: (e["start"] <= s["start"]) & (s["end"] <= e["end"]))
@@ -171,16 +173,15 @@ def _tagged(kind: str):
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, **options) -> DataFrame:
-    """The id and the text with entities as [KIND], revealing terms as [WORD], and the plainest of them removed."""
+    """The id and the text with entities as [KIND], revealing terms as [WORD], and the plainest of them removed.
+
+    A null text becomes empty; one row for each input row, repeated rows and null ids too; overlapping spans become the mark of
+    the first; an empty table gives an empty result; other columns are not read.
+    """
     found = scan_personal(docs, id_col, text_col, **options)
-    text = F.col(text_col)
 
-    def step(s: Column, x: Column) -> Column:
+    def mark(x: Column) -> Column:
         told = F.element_at("disclosed", F.lower(x["match"]))
-        mark = F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(told >= remove, F.lit("")).otherwise(F.lit("[WORD]"))
-        fresh = x["start"] >= s["at"]
-        piece = F.when(fresh, F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), mark)).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), piece.alias("out"))
+        return F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(told >= remove, F.lit("")).otherwise(F.lit("[WORD]"))
 
-    new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return found.select(id_col, F.when(F.size("spans") == 0, text).otherwise(new).alias(text_col))
+    return found.select(id_col, common.redacted(F.col(text_col), F.col("spans"), mark).alias(text_col))

@@ -94,11 +94,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of any 400-byte string that also starts elsewhere."""
-    from .repeats import remove_repeats
+    from .repeats import removed_digest
 
-    cut = remove_repeats(common.table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return removed_digest(common.table(spark, sf_dir, "documents"))
 
 
 @query
@@ -117,8 +115,9 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base patterns, and terms that reveal them."""
     from .personal import scan_personal
 
-    found = scan_personal(common.table(spark, sf_dir, "documents"))
-    return _counted(found, BASE_PERSONAL, BASE_PERSONAL)
+    with common.Scratch(spark) as scratch:
+        found = scan_personal(common.table(spark, sf_dir, "documents"), scratch=scratch)
+        return scratch.kept(_counted(found, BASE_PERSONAL, BASE_PERSONAL), "personal")
 
 
 @query

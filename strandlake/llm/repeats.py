@@ -21,7 +21,6 @@ equal strings have equal ranks wherever they are, and no round needs the ranks o
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,8 +169,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     exclusive) and kept (binary: the other bytes). Strings never cross rows and are judged on the input. A null
     text is empty; repeated rows are each other's repeats, so nothing of them is kept where they are long enough; null ids are
     rows of their own; texts shorter than ``length`` stay whole; an empty table gives an empty result; other
-    columns are not read.
+    columns are not read. The result reads a copy of the texts in the shared folder, which goes when the driver ends.
     """
+    return _removed(docs, id_col, text_col, length, stretch, common.Scratch(docs.sparkSession))
+
+
+def removed_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
+    """The id, n_bytes, n_removed, n_spans and kept_sha256 of ``remove_repeats``; all tables made on the way are dropped."""
+    with common.Scratch(docs.sparkSession) as scratch:
+        cut = _removed(docs, id_col, text_col, length, stretch, scratch)
+        removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        return scratch.kept(cut.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "digest")
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, stretch: int, scratch: common.Scratch) -> DataFrame:
     spark = docs.sparkSession
     width = _width(length)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -180,9 +191,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # one copy of the texts, laid out by row, so that no later round shuffles them
     docs = common.pick(docs, id_col, text_col).toDF("id", "text")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    name = f"strandlake_texts_{uuid.uuid4().hex[:12]}"
-    texts.repartition(n, "row").write.bucketBy(n, "row").sortBy("row").option("path", common.new_path(spark, "texts")).saveAsTable(name)
-    texts = spark.table(name)
+    texts = scratch.bucketed(texts, "texts", n, "row")
     _released(spark)
 
     positions, path = common.materialise(texts.select("row", "text").where(F.length("text") >= length).mapInArrow(lambda it: _first_ranks(it, length, stretch), ranks), "ranks")
@@ -196,7 +205,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # classes of equal hulls; one position of each stands for it from now on
         classes, classes_path = common.materialise(alive.groupBy("core", "hull").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("place").alias("place")), "classes")
         past = classes.where("n > 1").select("core", "hull")
-        found, _ = common.materialise(alive.hint("merge").join(past.hint("merge"), ["core", "hull"]).select("row", (F.col("place") * 16 + level).alias("code")), "covers")
+        found = scratch.table(alive.hint("merge").join(past.hint("merge"), ["core", "hull"]).select("row", (F.col("place") * 16 + level).alias("code")), "covers")
         covers.append(found)
         common.drop_path(spark, alive_path)
         _released(spark)
