@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,38 +126,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with equal sets are linked, repeated rows too; a null id is never the least one unless there is no
     other, and is not kept then. An empty table gives an empty result; other columns are not read.
     """
-    rows_, classes = _labelled(docs, id_col, text_col, percent, bands, band_rows)
-    out = rows_.join(classes, "c", "left")
-    component = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    with common.Scratch(docs.sparkSession) as scratch:
+        rows_, classes = _labelled(docs, id_col, text_col, percent, bands, band_rows, scratch)
+        out = rows_.join(classes.hint("merge"), "c", "left")
+        component = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component"))
+        out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+        return scratch.kept(out, "components")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: that of the least id.
 
-    Texts without words are kept, but repeated rows of them, and repeated rows of the least id, count as one.
+    Texts without words are kept, but repeated rows of them, and repeated rows of the least id, count as one. Null ids
+    come last: such a row stays only where its group has no other. Further columns may have any names, even those of
+    id and text in another case; an empty table gives an empty result.
     """
-    rows_, classes = _labelled(docs, id_col, text_col, percent, bands, band_rows)
-    out = rows_.join(classes, "c", "left").where("c is null or id <=> component").groupBy("id", "k").agg(F.count("*").alias("times"), F.min("c").alias("c"), F.first("label").alias("label"))
-    # equal ids with different texts in one component: the least text key stays
-    first = out.where("c is not null").groupBy("label").agg(F.min("k").alias("k"))
-    first = out.where("c is not null").join(first, ["label", "k"]).select("id", "k", "times")
-    kept, _ = common.materialise(first.unionByName(out.where("c is null").select("id", "k", "times")), "kept")
-    keyed = docs.withColumns({"__id": docs[id_col], "__k": _key(docs[text_col])})
-    match = lambda k: keyed["__id"].eqNullSafe(k["id"]) & (keyed["__k"] == k["k"])
+    names = docs.columns
+    columns = [f"_{i}" for i in range(len(names))]
+    id_, text = (F.col(columns[names.index(c)]) for c in (id_col, text_col))
+    keyed = docs.toDF(*columns).withColumns({"id": id_, "k": _key(text)})
+    with common.Scratch(docs.sparkSession) as scratch:
+        rows_, classes = _labelled(docs, id_col, text_col, percent, bands, band_rows, scratch)
+        out = rows_.join(classes.hint("merge"), "c", "left").where("c is null or id <=> component").groupBy("id", "k").agg(F.count("*").alias("times"), F.min("c").alias("c"), F.first("label").alias("label"))
+        out = scratch.table(out, "least")
+        # equal ids with different texts in one component: the least text key stays
+        first = out.where("c is not null").groupBy("label").agg(F.min("k").alias("k"))
+        first = out.where("c is not null").join(first, ["label", "k"]).select("id", "k", "times")
+        kept = scratch.kept(first.unionByName(out.where("c is null").select("id", "k", "times")), "kept")
+    match = lambda k: keyed["id"].eqNullSafe(k["id"]) & (keyed["k"] == k["k"])
     single, repeated = kept.where("times = 1"), kept.where("times > 1")
-    return (
-        keyed.join(single, match(single), "left_semi")
-        .unionByName(keyed.join(repeated, match(repeated), "left_semi").dropDuplicates(["__id", "__k"]))
-        .drop("__id", "__k")
-    )
+    out = keyed.join(single, match(single), "left_semi").unionByName(keyed.join(repeated, match(repeated), "left_semi").dropDuplicates(["id", "k"]))
+    return out.select(*columns).toDF(*names)
 
 
 def _key(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands: int, band_rows: int) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands: int, band_rows: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, k, n, c) of each row, and (c, label, component) of each class; a component is its least id."""
     spark = docs.sparkSession
     docs = common.pick(docs, id_col, text_col).toDF("id", "text").withColumn("k", _key(F.col("text")))
@@ -170,7 +177,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
 
     id_type = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), *[T.StructField(x, T.LongType()) for x in ("k", "n", "c")], T.StructField("bands", T.ArrayType(T.LongType()))])
-    sketched, _ = common.materialise(docs.mapInArrow(lambda it: _sketched(it, bands, band_rows), schema), "sketches")
+    sketched = scratch.table(docs.mapInArrow(lambda it: _sketched(it, bands, band_rows), schema), "sketches")
 
     # bands with two classes or more, and their members
     in_bands = sketched.select(F.explode("bands").alias("band"), "c")
@@ -215,6 +222,11 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     per_label = placed.groupBy("band", "label").count()
     mixed = per_label.groupBy("band").agg(F.max(F.struct("count", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("x.label").alias("major"))
     minor = placed.join(mixed, "band").where("label <> major").select("band", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "u", "label", "centre", "shared", "bits")])
+    # sizes of a linked pair differ by a factor of 100 / percent at most: neighbouring classes of size, so a band isn't met as a whole.
+    # Both sides are written first: each can then be split where a band is hot.
+    size = lambda n: F.floor(F.log(F.col(n)) / math.log(100.0 / percent * 1.0001)).cast("long")
+    minor = written(minor.withColumn("size", F.explode(F.array(*[size("n2") + d for d in (-1, 0, 1)]))), "minor")
+    placed = placed.withColumn("size", size("n"))
     # at most so many shingles in common: those in the common centre, and of the others those held elsewhere
     outside = lambda k: F.greatest(F.col(f"u{k}") - F.col(f"shared{k}"), F.lit(0))
     beside = F.least(outside(""), outside("2"))
@@ -223,7 +235,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
     enough = lambda most: 100 * most >= percent * (F.col("n") + F.col("n2") - most)
     rough = F.least("u", "u2")
     rough = F.when(same_centre, F.least(rough, F.least("shared", "shared2") + beside)).otherwise(rough)
-    possible = minor.join(placed, "band").where((F.col("label") != F.col("label2")) & enough(rough) & F.when(same_centre & F.col("bits").isNotNull() & F.col("bits2").isNotNull(), enough(in_centre + beside)).otherwise(True))
+    possible = minor.hint("merge").join(placed.hint("merge"), ["band", "size"]).where((F.col("label") != F.col("label2")) & enough(rough) & F.when(same_centre & F.col("bits").isNotNull() & F.col("bits2").isNotNull(), enough(in_centre + beside)).otherwise(True))
     rest = possible.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
     more = written(verified(rest, sets, percent).where("linked").select("a", "b"), "links")
     label = written(components(links.unionByName(more), paths), "labels")
@@ -231,8 +243,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, bands:
 
     # the least id of each class, then of each component
     classes = sketched.where("c is not null").groupBy("c").agg(F.min("id").alias("id")).join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("label", "c").alias("label"))
-    classes, _ = common.materialise(classes, "classes")
+    classes = scratch.table(classes, "classes")
     for path in paths:
         common.drop_path(spark, path)
-    least_id = classes.groupBy("label").agg(F.min("id").alias("component"))
-    return sketched.select("id", "k", "n", "c"), classes.join(least_id, "label").select("c", "label", "component")
+    # written, so that the join on a component with very many classes isn't tied to the aggregate's partitions and can be split
+    least_id = scratch.table(classes.groupBy("label").agg(F.min("id").alias("component")), "least")
+    return sketched.select("id", "k", "n", "c"), classes.hint("merge").join(least_id.hint("merge"), "label").select("c", "label", "component")

@@ -84,6 +84,29 @@ def test_edge_cases(spark):
     assert sorted(r.doc_id for r in kept if not (r.text or "").strip()) == [1, 2, 3]
 
 
+def test_names_that_clash(spark):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        rows = [(3, "a b c d e f", "x", "k", 1), (1, "a b c d e f", "y", "l", 2), (1, "a b c d e f", "y", "l", 2), (2, None, "z", None, 3), (None, "", None, None, None)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, DOC_ID string, __k string, c int")
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    got = near_dups.deduplicated(df)
+    assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4]]))
+
+
+def test_many_components_in_one_band(spark):
+    """Texts that share half of their shingles, so bands too, but are linked in pairs only."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([20, 45, 90]))]
+        rows += [(3 * i, " ".join(base + own)), (3 * i + 1, " ".join(base + own + ["z"] * (i % 2)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
+
+
 def test_sketch_is_full_and_unbiased():
     rng = np.random.default_rng(3)
     for n in (1, 2, 10, 400, 5000):
