@@ -28,7 +28,7 @@ SAMPLE_QUERIES = 64
 RECALL = 0.96
 #: Vectors that one bucket should hold on average; more hash functions per table keep it so.
 BUCKET = 1024
-#: Members of a bucket handled at once; larger buckets are split.
+#: Members, and queries, of a bucket handled at once; larger buckets are split on both sides.
 BLOCK = 2048
 #: Probes that are made at once.
 PROBE_ROWS = 1 << 18
@@ -37,9 +37,7 @@ PROBE_ROWS = 1 << 18
 class Hasher:
     def __init__(self, size: int, tables: int, functions: int, largest: float, seed: int = 7):
         self.size, self.tables, self.functions, self.largest = size, tables, functions, largest
-        self.dim = 1 << max(2, math.ceil(math.log2(size + 1)))
-        if size & (size - 1) == 0 and size >= 4:
-            self.dim = size  # the added component is folded into the first one's rotation
+        self.dim = 1 << max(2, int(size).bit_length())  # a power of two with an axis left for the added component
         self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (tables, functions, 3, self.dim + 1))
 
     def unit(self, x: np.ndarray, member: bool) -> np.ndarray:
@@ -47,12 +45,7 @@ class Hasher:
         out = np.zeros((len(x), self.dim))
         if member:
             out[:, : self.size] = x / self.largest
-            rest = np.sqrt(np.maximum(0, 1 - (norm / self.largest) ** 2))
-            if self.dim > self.size:
-                out[:, self.size] = rest
-            else:
-                self_rest = rest[:, None] * np.random.default_rng(11).normal(0, 1 / math.sqrt(self.dim), self.dim)
-                out += self_rest
+            out[:, self.size] = np.sqrt(np.maximum(0, 1 - (norm / self.largest) ** 2))
         else:
             out[:, : self.size] = x / norm[:, None]
         return out
@@ -164,6 +157,11 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     with the same id and vector count once; with fewer candidates all are returned; an empty table gives an empty result;
     other columns are not read.
     """
+    with common.Scratch(vectors.sparkSession) as scratch:
+        return _nearest(vectors, is_query, id_col, vector_col, k, tables, recall, sample_queries, bucket, scratch)
+
+
+def _nearest(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int, tables: int, recall: float, sample_queries: int, bucket: int, scratch: common.Scratch) -> DataFrame:
     spark = vectors.sparkSession
     base = common.pick(vectors, id_col, vector_col).toDF("id", "v").where(
         F.col("id").isNotNull() & (F.size("v") > 0)
@@ -174,7 +172,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     few = lambda x: F.slice(F.sort_array(x), 1, k + 1)
     parts = base.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(4096)).alias("part")).agg(few(F.collect_set("id")).alias("ids"))
     classes = parts.groupBy("v").agg(few(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-    classes, classes_path = common.materialise(classes.select(F.element_at("ids", 1).alias("c"), "ids", "v"), "classes")
+    classes = scratch.table(classes.select(F.element_at("ids", 1).alias("c"), "ids", "v"), "classes")
     n, size, largest = classes.agg(F.count("*"), F.max(F.size("v")), F.max(F.sqrt(squares))).first()
     id_type = base.schema["id"].dataType
     result = T.StructType([T.StructField("query_id", id_type), T.StructField("rank", T.IntegerType()), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
@@ -182,14 +180,14 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         return spark.createDataFrame([], result)
 
     asked = base.where(is_query).distinct()
-    queries, _ = common.materialise(asked.join(classes.select("c", "v"), "v").select(F.col("id").alias("query_id"), "c"), "queries")
-    wanted, wanted_path = common.materialise(classes.join(queries.select("c").distinct(), "c").select("c", "v"), "wanted")
+    queries = scratch.table(asked.join(classes.select("c", "v"), "v").select(F.col("id").alias("query_id"), "c"), "queries")
+    wanted = scratch.table(classes.join(queries.select("c").distinct(), "c").select("c", "v"), "wanted")
 
     # calibration against all classes
     sample = wanted.orderBy(F.xxhash64("c"), "c").limit(sample_queries).collect()
     if not sample:
         return spark.createDataFrame([], result)
-    functions = max(1, round(math.log(max(1, n / bucket)) / math.log(2 * size)))
+    functions = max(1, round(math.log(max(1, n / bucket)) / math.log(4 * size)))
     hasher = Hasher(size, tables, functions, largest)
     s_matrix = _matrix(pa.array([r.v for r in sample], pa.list_(pa.float64())), size)
     s_ids = np.array([r.c for r in sample])
@@ -240,9 +238,14 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
 
     members = classes.select("c", "v").mapInArrow(file_under(None), filed)
     probing = wanted.select("c", "v").mapInArrow(file_under(limit), filed)
-    large = members.groupBy("table", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
-    members = members.join(large, ["table", "bucket"], "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("c"), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
-    probing = probing.join(large, ["table", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    # a large bucket becomes a grid: its members are dealt to parts, its queries to rows, and every part meets every row once
+    cut = lambda x, name: x.groupBy("table", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)).where(F.col(name) > 1)
+    parts, asked_parts = cut(members, "parts"), cut(probing, "rows")
+    dealt = lambda n: F.when(F.col(n) > 1, F.pmod(F.xxhash64("c"), F.col(n))).otherwise(0).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    grid = lambda x: x.join(parts, ["table", "bucket"], "left").join(asked_parts, ["table", "bucket"], "left")
+    members = grid(members).withColumn("part", dealt("parts")).withColumn("row", each("rows")).drop("parts", "rows")
+    probing = grid(probing).withColumn("row", dealt("rows")).withColumn("part", each("parts")).drop("parts", "rows")
 
     pair = T.StructType([T.StructField("q", id_type), T.StructField("c", id_type), T.StructField("score", T.DoubleType())])
 
@@ -254,15 +257,13 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         i, m, score = _best(unpacked(asking), unpacked(filed_), m_ids, k + 1)
         return pa.table({"q": q_ids[i], "c": m_ids[m], "score": score})
 
-    by = ["table", "bucket", "part"]
+    by = ["table", "bucket", "part", "row"]
     found = probing.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(rerank, pair)
     found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     ranked = lambda df, key, *order_: df.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(*order_)))
     found = ranked(found, "q", F.desc("score"), F.col("c")).where(F.col("r") <= k + 1)
     listed = found.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("id"))
-    listed, _ = common.materialise(ranked(listed, "q", F.desc("score"), F.col("id")).where(F.col("r") <= k + 1), "listed")
-    common.drop_path(spark, classes_path)
-    common.drop_path(spark, wanted_path)
+    listed = scratch.table(ranked(listed, "q", F.desc("score"), F.col("id")).where(F.col("r") <= k + 1), "listed")
     out = queries.join(listed, queries["c"] == listed["q"]).where("id <> query_id").select("query_id", "id", "score", "r")
     out = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("r"))).where(F.col("rank") <= k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    return scratch.kept(out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score"), "nearest")

@@ -72,11 +72,37 @@ def test_many_functions():
         assert (probes[:, 0] == hasher.buckets(u, t)).all() and all(len(set(p)) == 10 for p in probes.tolist())
 
 
+def test_members_are_unit_vectors_and_angles_are_inner_products():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 3, 8, 63, 64):
+        x = rng.normal(size=(40, size)) * rng.uniform(0.1, 3, (40, 1))
+        largest = np.linalg.norm(x, axis=1).max()
+        hasher = neighbours.Hasher(size, 1, 1, largest)
+        members, asked = hasher.unit(x, True), hasher.unit(x, False)
+        assert np.allclose(np.linalg.norm(members, axis=1), 1) and np.allclose(np.linalg.norm(asked, axis=1), 1)
+        assert np.allclose(asked @ members.T * largest * np.linalg.norm(x, axis=1)[:, None], x @ x.T)
+        axes = hasher.axes(members, 0, 0)
+        assert np.allclose(np.linalg.norm(axes[:, : hasher.dim], axis=1), 1)  # the rotation keeps lengths
+
+
+def test_hot_bucket_is_split_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x = np.array([1.0, 2.0, 3.0, 4.0]) + rng.normal(0, 0.01, (300, 4))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 2 == 0, recall=1.0, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute(list(range(300)), x, range(0, 300, 2), k=5)
+    same = [[i for _, i in sorted(got[q])] == [i for i, _ in want[q]] for q in want]
+    assert set(got) == set(want) and np.mean(same) > 0.95
+
+
 def test_probes_reach_the_recall():
     rng = np.random.default_rng(3)
     hasher = neighbours.Hasher(64, 1, 2, 1.0)
     x = rng.normal(size=(4, 64))
-    near = [-v[None, :] / np.linalg.norm(v) for v in x]  # about the last of 16384 buckets
+    near = [-v[None, :] / np.linalg.norm(v) for v in x]  # about the last of all buckets
     limit = neighbours._probe_limit(hasher, x, near, 1.0)
     probes = hasher.probes(hasher.unit(x, False), 0, limit)
-    assert 4096 < limit <= 16384 and all(hasher.buckets(hasher.unit(v, True), 0)[0] in p for v, p in zip(near, probes))
+    assert 4096 < limit <= (2 * hasher.dim) ** 2 and all(hasher.buckets(hasher.unit(v, True), 0)[0] in p for v, p in zip(near, probes))
