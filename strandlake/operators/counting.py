@@ -24,6 +24,13 @@ def counted(kmers: DataFrame, *keys: str) -> DataFrame:
     return kmers.groupBy(*keys, "kmer").agg(F.count("*").alias("cnt"), *votes())
 
 
+def added(parts: DataFrame) -> DataFrame:
+    """Counts of routed supermers (by target, salt and split): those of split targets are added up, the others are whole."""
+    whole = parts.where(~F.col("split")).select("kmer", "cnt", *VOTES)
+    split = parts.where("split").groupBy("kmer").agg(*[F.sum(c).alias(c) for c in ("cnt", *VOTES)])
+    return whole.unionByName(split)
+
+
 def saturated(counts: DataFrame, cap: int = VOTE_CAP) -> DataFrame:
     """Votes that stop below the cap."""
     return counts.withColumns({v: F.least(F.col(v), F.lit(cap - 1).cast("long")) for v in VOTES})

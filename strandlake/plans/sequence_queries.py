@@ -198,7 +198,7 @@ def quick_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_targets() + " SELECT target, count(*) AS n, count(DISTINCT minimizer) AS minimizers FROM placed GROUP BY target")
 def kmer_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partition of each k-mer by the hash of its minimizer."""
-    x = kmers.with_target(kmers.interior_kmers(source.text_reads(spark, sf_dir), K), K, TARGETS, M)
+    x = kmers.placed(source.text_reads(spark, sf_dir), K, TARGETS, M)
     return x.groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("minimizer").alias("minimizers"))
 
 
@@ -289,12 +289,12 @@ def supermer_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FORWARD} SELECT * FROM counts WHERE cnt >= 2")
 def supermer_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by the supermer route: routed to targets, taken apart there, counted without another shuffle."""
-    s = kmers.routed(kmers.supermers(source.text_reads(spark, sf_dir), K, TARGETS, M), TARGETS)
-    each = s.select("target", F.explode(F.sequence(F.lit(1), F.length("seq") - (K + 1))).alias("pos"), F.encode("seq", "UTF-8").alias("raw"))
-    cut = lambda at, n: F.substring("raw", at, F.lit(n)).cast("string")
-    each = each.select("target", cut(F.col("pos") + 1, K).alias("kmer"), cut(F.col("pos"), 1).alias("left"), cut(F.col("pos") + (K + 1), 1).alias("right"))
-    return counting.counted(each, "target").where("cnt >= 2").drop("target")
+    """Counts by the supermer route: routed to targets, taken apart and counted there; only split targets are shuffled again."""
+    targets = max(TARGETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    s = kmers.supermers(source.text_reads(spark, sf_dir), K, targets, M)
+    loads = s.groupBy("target").agg(F.sum(F.length("seq") - (K + 1)).alias("load"))
+    parts = counting.counted(kmers.expanded(kmers.routed(s, loads).drop("read_id", "offset"), K), "target", "salt", "split")
+    return counting.added(parts).where("cnt >= 2")
 
 
 # --- counting

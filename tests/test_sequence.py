@@ -155,6 +155,40 @@ def test_supermers_against_a_loop(spark):
     assert sorted(tuple(r) for r in kmers.supermers(frame(spark, seqs), 21, 5, 15).collect()) == want
 
 
+def test_stretches_of_long_reads(spark):
+    rng = random.Random(4)
+    letters = lambda n, of="ACGT": "".join(rng.choice(of) for _ in range(n))
+    seqs = ["A" * 500, letters(700), letters(300) + "A" * 300 + letters(300), letters(22), letters(23), letters(24), "", letters(600, "ACGTacgtNn" + "ACGT" * 20), "N" * 90, letters(90) + "N" * 5 + letters(90)]
+    for clean_only, df in ((False, frame(spark, seqs[:7])), (True, frame(spark, seqs))):
+        rows = lambda x: sorted(map(tuple, x.collect()))
+        for make in (kmers.supermers, kmers.placed):
+            want = rows(make(df, 21, 7, 15, clean_only))
+            assert want and rows(make(df, 21, 7, 15, clean_only, stretch=50)) == want and rows(make(df, 21, 7, 15, clean_only, stretch=37)) == want
+
+
+def test_placed_is_the_minimizer_of_each_kmer(spark):
+    rng = random.Random(5)
+    df = frame(spark, ["".join(rng.choice("ACGT") for _ in range(rng.randrange(20, 120))) for _ in range(20)])
+    each = kmers.interior_kmers(df, 21)
+    text = kmers.with_target(kmers.with_minimizer(each, 21, 15), 21, 6, 15)
+    plain = sequence.minimizer(F.col("kmer"), 21, 15)
+    want = sorted((r.read_id, r.pos, r.code, r.target) for r in text.where(F.col("minimizer") == plain).select("read_id", "pos", sequence.pack(F.col("minimizer")).alias("code"), "target").collect())
+    assert len(want) == each.count() and sorted(map(tuple, kmers.placed(df, 21, 6, 15).collect())) == want
+    udf = text.select("target", hashes.minimizer_target(6)("minimizer").alias("t")).collect()
+    assert all(r.target == r.t for r in udf)
+
+
+def test_split_targets_add_up(spark):
+    rng = random.Random(6)
+    df = frame(spark, ["A" * 150 for _ in range(40)] + ["".join(rng.choice("ACGT") for _ in range(150)) for _ in range(40)] * 2)
+    s = kmers.supermers(df, 21, 8, 15)
+    loads = s.groupBy("target").agg(F.sum(F.length("seq") - 22).alias("load"))
+    parts = counting.counted(kmers.expanded(kmers.routed(s, loads, even=1.0).drop("read_id", "offset"), 21), "target", "salt", "split")
+    assert parts.where("split").count() > 0
+    want = counting.counted(kmers.interior_kmers(df, 21))
+    assert sorted(map(tuple, counting.added(parts).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_masked_windows(spark):
     body = "ACGTTGCATGCCATTGACGTA"
     seqs = ["C" + body + "G", "c" + body + "G", "N" + body + "G", "n" + body + "G", "C" + body[:5] + "N" + body[6:] + "G", "C" + body.lower() + "G"]
