@@ -20,11 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns by exact name, so that extra columns never clash (not even in case)."""
     at = {c: i for i, c in enumerate(df.columns)}
-    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(
+    return numbered(df).select(
         *[F.col(f"_{at[n]}").alias(n) for n in names]
     )
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns named _0, _1, ... by their places: safe to refer to, whatever their names."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 

@@ -198,7 +198,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, with all their columns, that hold no test item."""
+    """The documents, with all their columns, that hold no test item.
+
+    Null and empty texts hold none, null and empty items are held by none; repeated rows are rows of their own; further
+    columns may have any names; an empty table gives an empty result, an empty benchmark all documents.
+    """
     at = docs.columns.index(text_col)
 
     def pass_over(shared):
@@ -211,6 +215,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         return run
 
+    plain = common.numbered(docs)
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        docs = docs.mapInArrow(pass_over(_shared(docs.sparkSession, items, rate, min_chars)), docs.schema)
-    return docs
+        plain = plain.mapInArrow(pass_over(_shared(docs.sparkSession, items, rate, min_chars)), plain.schema)
+    return plain.toDF(*docs.columns)

@@ -41,7 +41,7 @@ gaps AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0
 cut AS (SELECT s.rid, count(*) AS n_spans, sum(b - a) AS n_removed,
         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || max(CASE WHEN next IS NULL THEN substr(h, 2 * b + 1) END) AS kept
     FROM gaps g JOIN sized s ON s.rid = g.rid GROUP BY s.rid)
-SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, (coalesce(n_removed, 0) > 0)::INTEGER AS repeated
 FROM sized LEFT JOIN cut USING (rid)
 """
 

@@ -175,11 +175,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def removed_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
-    """The id, n_bytes, n_removed, n_spans and kept_sha256 of ``remove_repeats``; all tables made on the way are dropped."""
+    """The id, n_bytes, n_removed, n_spans, kept_sha256 and repeated (1 if anything is removed, else 0) of ``remove_repeats``.
+
+    All tables made on the way are dropped.
+    """
     with common.Scratch(docs.sparkSession) as scratch:
         cut = _removed(docs, id_col, text_col, length, stretch, scratch)
         removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-        return scratch.kept(cut.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "digest")
+        return scratch.kept(cut.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).cast("int").alias("repeated")), "digest")
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, stretch: int, scratch: common.Scratch) -> DataFrame:

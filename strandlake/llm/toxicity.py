@@ -287,4 +287,5 @@ def filtered(docs: DataFrame, model: Model, reject: float, text_col: str = "text
                 keep = pa.array(scorer(texts) < reject)
                 yield whole.slice(numbers[0], len(numbers)).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = common.numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

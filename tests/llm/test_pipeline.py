@@ -70,3 +70,22 @@ def test_nulls_and_empty_tables(spark, tmp_path):
                 data = spark.createDataFrame(data.collect(), data.schema)
         got = {r.doc_id for r in data.collect()}
         assert got in (set(), {None, 1, 2, 3})
+
+
+def test_names_that_clash(spark, tmp_path):
+    """Further columns named like those that stages need for themselves, or like the documents' in another case."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        rows = [(1, "a token=abcdefg b " * 3, "en", "s", 54, "A", 7, "k", 1.5, "sp"), (2, "one two three four five six", "en", "s", 27, "B", None, None, None, None), (3, "one two three four five six", None, None, None, "C", 8, "l", 2.5, "x")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, Text string, DOC_ID int, __k string, score double, spans string")
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "Text", "DOC_ID", "__k", "score", "spans"]
+    got = sorted(map(tuple, docs.collect()))
+    assert got == [(1, "a [SECRET] b " * 3, "en", "s", 39, *rows[0][5:]), rows[1]]
+    pieces = cp.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {1, 2}

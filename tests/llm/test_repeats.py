@@ -32,7 +32,7 @@ def test_documents(spark):
     assert set(got) == set(want)
     for d, (n, spans, kept) in want.items():
         r = got[d]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest())
+        assert r.repeated == (r.n_removed > 0) and (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest())
     assert any(spans for _, spans, _ in want.values())
 
 
@@ -62,6 +62,30 @@ def test_against_brute_force(spark):
         assert sorted((r.doc_id, r.n_bytes, tuple(map(tuple, r.spans)), bytes(r.kept)) for r in got if r.doc_id is not None) == want
 
 
+def test_planted_passages(spark):
+    """Passages of more than 50 words in otherwise unlike documents: those of 400 bytes go from each, shorter ones and clean documents stay."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(rng.randrange(4, 11)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for p in range(40):
+        passage = words(rng.choice([52, 60, 90, 300])) if p % 4 else " ".join(word()[:3] for _ in range(55))
+        n = len(passage.encode())
+        if 380 <= n < 400:
+            continue  # whether the marks beside it make it long enough is not the question here
+        for _ in range(rng.choice([2, 3, 20])):
+            rows.append((len(rows), f"{words(rng.randrange(200))}\n# {passage} #\n{words(rng.randrange(200))}"))
+            want[len(rows) - 1] = n if n >= 400 else 0
+    for _ in range(100):
+        rows.append((len(rows), words(rng.randrange(300))))
+        want[len(rows) - 1] = 0
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for r in repeats.removed_digest(df).collect():
+        # the marks and line ends beside a passage are shared too
+        assert (want[r.doc_id] <= r.n_removed <= want[r.doc_id] + 12 if want[r.doc_id] else r.n_removed == 0) and r.repeated == (r.n_removed > 0) and r.n_bytes == len(rows[r.doc_id][1].encode())
+    assert sum(n > 0 for n in want.values()) > 60
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
