@@ -99,6 +99,16 @@ def low_quality(c: Column) -> Column:
     return c.rlike("^[acgtn]$")
 
 
+def valid_inserted(c: Column) -> Column:
+    """Letters that a table takes as a neighbour: a base, none (0) or N."""
+    return c.rlike("^[ACGT0N]$")
+
+
+def valid_in_supermer(c: Column) -> Column:
+    """Letters that may stand beside a k-mer of a supermer: anything but a separator or N."""
+    return ~c.isin("_", "N")
+
+
 def pack_extensions(left: Column, right: Column) -> Column:
     at = lambda c: F.greatest(F.instr(F.lit(EXTENSIONS), c) - 1, F.lit(0))
     return F.shiftleft(at(left), 3) + at(right)
@@ -118,6 +128,12 @@ def pack4(seq: Column) -> Column:
     return F.concat(digits, F.when(F.length(seq) % 2 == 1, "0").otherwise(""))
 
 
+def slice4(packed: Column, start: Column, n: Column) -> Column:
+    """n letters of a packed sequence from the letter ``start`` (from 0) on, packed: an odd start shifts by half a byte, an odd end is followed by 0."""
+    part = F.substring(packed, start + 1, n)
+    return F.concat(part, F.when(F.length(part) % 2 == 1, "0").otherwise(""))
+
+
 def unpack4(packed: Column, n: Column) -> Column:
     """The first n letters of a packed sequence; codes beyond the letters become '?'."""
     return F.translate(F.substring(packed, F.lit(1), n), "0123456789b", BASES4 + "?")

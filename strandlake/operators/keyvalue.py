@@ -23,6 +23,20 @@ def insert_if_absent(pairs: DataFrame, more: DataFrame) -> DataFrame:
     return pairs.select("key", "val").unionByName(fresh.join(pairs.select("key").distinct(), "key", "left_anti").select("key", "val"))
 
 
+def insert_or_get(pairs: DataFrame, more: DataFrame) -> DataFrame:
+    """What each insert of ``more`` (key, seq, val) finds: key, seq, found, existing (the value that stays; null if it inserts).
+
+    The inserts of one key come in the order of ``seq``, which no two of them share; the first of an absent key inserts, the others find its value. A key
+    is met by its first insert, not by a window over all of them, so a hot key costs no task of its own.
+    """
+    firsts = more.groupBy("key").agg(F.min(F.struct("seq", "val")).alias("first"))
+    held = pairs.groupBy("key").agg(F.min("val").alias("held"))
+    known = firsts.join(held, "key", "left")
+    got = more.select("key", "seq").join(known, "key")
+    found = F.col("held").isNotNull() | (F.col("seq") > F.col("first.seq"))
+    return got.select("key", "seq", found.alias("found"), F.when(found, F.coalesce("held", "first.val")).alias("existing"))
+
+
 def first_wins(events: DataFrame) -> DataFrame:
     return events.groupBy("key").agg(F.min(F.struct("seq", "val"))["val"].alias("val"))
 

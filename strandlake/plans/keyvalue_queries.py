@@ -49,6 +49,16 @@ def kv_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.insert_if_absent(_pairs(spark, sf_dir), more)
 
 
+@query(f"""WITH {PAIRS}, more AS (SELECT CAST(user_id * 97 + event_id % 5 AS BIGINT) AS key, CAST(event_id * 3 AS BIGINT) AS val, CAST(event_id AS BIGINT) AS seq FROM events),
+r AS (SELECT *, row_number() OVER w AS n, first_value(val) OVER w AS first_val FROM more WINDOW w AS (PARTITION BY key ORDER BY seq))
+SELECT r.key, r.seq, p.val IS NOT NULL OR r.n > 1 AS found, CASE WHEN p.val IS NOT NULL THEN p.val WHEN r.n > 1 THEN r.first_val END AS existing FROM r LEFT JOIN pairs p ON p.key = r.key""")
+def kv_insert_or_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts that find a key return its value."""
+    e = table(spark, sf_dir, "events")
+    more = e.select((F.col("user_id") * 97 + F.col("event_id") % 5).cast("long").alias("key"), (F.col("event_id") * 3).cast("long").alias("val"), F.col("event_id").cast("long").alias("seq"))
+    return kv.insert_or_get(_pairs(spark, sf_dir), more)
+
+
 @query(f"WITH {EVENTS} SELECT key, max({{'seq': seq, 'val': val}}).val AS val FROM ev GROUP BY key HAVING count(*) % 2 = 1")
 def kv_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.toggled(_events(spark, sf_dir))
@@ -108,7 +118,7 @@ def bulk_query_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.count("*").alias("probes"), F.count_if(~F.col("found")).alias("misses"))
 
 
-@query(f"WITH {PAIRS}, p AS (SELECT *, key % 20 AS batch FROM pairs), o AS (SELECT key * 3 + 1 AS key, key % 20 AS batch FROM pairs), own AS (SELECT batch, count(*) AS inserted, count(*) AS found, count(*) AS right_value FROM p GROUP BY batch), other AS (SELECT o.batch, count(*) AS probed, count(q.key) AS hits FROM o LEFT JOIN pairs q ON o.key = q.key GROUP BY o.batch) SELECT own.*, other.probed, other.hits FROM own JOIN other USING (batch)")
+@query(f"WITH {PAIRS}, p AS (SELECT *, key % 20 AS batch FROM pairs), o AS (SELECT key * 3 + 1 AS key, key % 20 AS batch FROM pairs), stored AS (SELECT key, min(val) AS val FROM pairs GROUP BY key), own AS (SELECT batch, count(*) AS inserted, count(s.key) AS found, count(*) FILTER (s.val = p.val) AS right_value FROM p LEFT JOIN stored s ON s.key = p.key GROUP BY batch), other AS (SELECT o.batch, count(*) AS probed, count(q.key) AS hits FROM o LEFT JOIN pairs q ON o.key = q.key GROUP BY o.batch) SELECT own.*, other.probed, other.hits FROM own JOIN other USING (batch)")
 def filter_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert, look up, check values, and look up other keys, in 20 batches."""
     p = _pairs(spark, sf_dir).withColumn("batch", F.col("key") % 20)

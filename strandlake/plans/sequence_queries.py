@@ -240,6 +240,26 @@ def pack4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("read_id", "packed", sequence.unpack4(F.col("packed"), F.length("seq")).alias("unpacked"))
 
 
+@query(f"""WITH {DIRTY} SELECT read_id, 3 + CAST(read_id % 2 AS INTEGER) AS start, replace(substr(seq, 4 + read_id % 2, 11), 'n', 'N') AS letters,
+length(substr(seq, 4 + read_id % 2, 11)) + length(substr(seq, 4 + read_id % 2, 11)) % 2 AS half_bytes FROM reads WHERE length(seq) > 4""")
+def pack4_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of packed reads from odd and even letters on."""
+    r = source.dirty_reads(spark, sf_dir).where("length(seq) > 4").withColumn("start", (F.lit(3) + F.col("read_id") % 2).cast("int"))
+    n = F.least(F.lit(11), F.length("seq") - F.col("start"))
+    r = r.withColumn("part", sequence.slice4(sequence.pack4(F.col("seq")), F.col("start"), n))
+    return r.select("read_id", "start", sequence.unpack4(F.col("part"), n).alias("letters"), F.length("part").cast("long").alias("half_bytes"))
+
+
+@query("""WITH c AS (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z0-9_]', '', 'g'), '')) AS base FROM documents), n AS (SELECT base, count(*) AS n FROM c WHERE base <> '' GROUP BY base)
+SELECT base, n, base SIMILAR TO '[acgtn]' AS low, base SIMILAR TO '[ACGT0N]' AS inserted, base NOT IN ('_', 'N') AS in_supermer FROM n""")
+def base_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three predicates on letters beside a k-mer, for every letter of the texts."""
+    docs = source.spread(source.table(spark, sf_dir, "documents").select("text"))
+    each = docs.select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z0-9_]", ""), "")).alias("base")).where("base <> ''").groupBy("base").agg(F.count("*").alias("n"))
+    base = F.col("base")
+    return each.select("base", "n", sequence.low_quality(base).alias("low"), sequence.valid_inserted(base).alias("inserted"), sequence.valid_in_supermer(base).alias("in_supermer"))
+
+
 # --- k-mers of reads with N and quality
 @query(f"WITH {DIRTY}, {POSITIONS}, {RAW} SELECT read_id, count(*) AS windows, CAST(count(*) FILTER (regexp_full_match(kmer, '[ACGTacgt]+')) AS BIGINT) AS valid, CAST(count(*) FILTER (l SIMILAR TO '[acgtn]') AS BIGINT) AS low_left FROM raw GROUP BY read_id")
 def valid_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,11 +393,26 @@ def reduce_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.agg(F.min("n").alias("least"), F.sum("n").alias("total"), F.max("n").alias("most"), F.avg("n").alias("mean"))
 
 
-@query(f"{COUNTS} SELECT CAST(sum(cnt) AS BIGINT) AS attempted, count(*) AS inserted, CAST(count(*) FILTER (cnt = 1) AS BIGINT) AS singletons, CAST(0 AS BIGINT) AS dropped FROM counts")
+@query(
+    f"{COUNTS}, a AS (SELECT CAST(sum(greatest(0, length(seq) - {K + 1})) AS BIGINT) AS attempted FROM reads), "
+    "t AS (SELECT CAST(sum(cnt) AS BIGINT) AS taken, count(*) AS seen, CAST(count(*) FILTER (cnt = 1) AS BIGINT) AS singletons, CAST(count(*) FILTER (cnt >= 2) AS BIGINT) AS new_inserts FROM counts) "
+    "SELECT attempted, attempted - taken AS dropped, seen AS num_unique_qf, singletons, new_inserts, seen - singletons - new_inserts AS dropped_qf FROM a, t"
+)
 def insert_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a k-mer table was asked to take; nothing is ever dropped."""
-    c = kmers.canonical_kmers(source.text_reads(spark, sf_dir), K).groupBy("kmer").agg(F.count("*").alias("cnt"))
-    return c.agg(F.sum("cnt").alias("attempted"), F.count("*").alias("inserted"), F.count_if(F.col("cnt") == 1).alias("singletons"), F.lit(0).cast("long").alias("dropped"))
+    """What a k-mer table behind a filter of first sightings was asked to take.
+
+    Attempts come from the lengths of reads, the rest from the counts: what neither the filter holds (seen once) nor the
+    table (seen again) was dropped.
+    """
+    r = source.text_reads(spark, sf_dir)
+    attempted = r.agg(F.sum(F.greatest(F.lit(0), F.length("seq") - (K + 1))).cast("long").alias("attempted"))
+    c = kmers.canonical_kmers(r, K).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    t = c.agg(F.sum("cnt").alias("taken"), F.count("*").alias("num_unique_qf"), F.count_if(F.col("cnt") == 1).alias("singletons"), F.count_if(F.col("cnt") >= 2).alias("new_inserts"))
+    both = attempted.select("attempted", F.lit(1).alias("one")).join(t.withColumn("one", F.lit(1)), "one")  # one row each
+    return both.select(
+        "attempted", (F.col("attempted") - F.col("taken")).alias("dropped"), "num_unique_qf", "singletons", "new_inserts",
+        (F.col("num_unique_qf") - F.col("singletons") - F.col("new_inserts")).alias("dropped_qf"),
+    )
 
 
 # --- contigs
