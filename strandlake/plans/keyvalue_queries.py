@@ -125,7 +125,14 @@ def filter_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.batch_report(p, p.select((F.col("key") * 3 + 1).alias("key"), "batch"), 20)
 
 
-@query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (ORDER BY key) AS pos, count(*) OVER () AS n FROM pairs) SELECT 'before' AS step, count(*) AS fill, CAST(0 AS BIGINT) AS misses FROM r UNION ALL SELECT 'deleted', count(*) FILTER (pos > n // 2), CAST(0 AS BIGINT) FROM r UNION ALL SELECT 'added', count(*), CAST(0 AS BIGINT) FROM r")
+def _step(columns: str, held: str, asked: str) -> str:
+    """SQL of one row: fill of the table ``held`` and how many of the keys ``asked`` it doesn't have."""
+    return f"SELECT {columns}, (SELECT count(*) FROM {asked} a ANTI JOIN {held} h ON a.key = h.key) AS misses FROM {held}"
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (ORDER BY key) AS pos, count(*) OVER () AS n FROM pairs),
+half AS (SELECT key, val FROM r WHERE pos <= n // 2), rest AS (SELECT key, val FROM r WHERE pos > n // 2), deleted AS (SELECT * FROM pairs EXCEPT ALL SELECT * FROM half), again AS (SELECT * FROM deleted UNION ALL SELECT * FROM half)
+{_step("'before' AS step, count(*) AS fill", "pairs", "pairs")} UNION ALL {_step("'deleted', count(*)", "deleted", "rest")} UNION ALL {_step("'added', count(*)", "again", "pairs")}""")
 def filter_delete_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert all, delete the first half by key, look up the rest, add the half again."""
     pairs = _pairs(spark, sf_dir)
@@ -137,20 +144,35 @@ def filter_delete_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_row("before", pairs, pairs).unionByName(spark_row("deleted", left, rest)).unionByName(spark_row("added", again, pairs))
 
 
-def _median_key(pairs: DataFrame) -> int:
-    """The key at half of the rows, by bisection over counts: no row leaves the executors."""
+def _median_key(pairs: DataFrame, cells: int = 1024) -> int:
+    """The greatest key of the first half of the rows, by counts of ever narrower cells: at most so many counts a round leave the executors."""
     low, high, n = pairs.agg(F.min("key"), F.max("key"), F.count("*")).first()
     want = n // 2
-    while low is not None and low < high:
-        middle = (low + high) // 2
-        if pairs.where(F.col("key") <= middle).count() >= want:
-            high = middle
-        else:
-            low = middle + 1
-    return low if low is not None else 0
-
-
-@query(f"WITH {PAIRS}, p AS (SELECT key, key % 8 AS part FROM pairs), r AS (SELECT unnest(range(0, 6)) AS round) SELECT round, CAST(count(*) FILTER (part > round) AS BIGINT) AS old_left, CAST(count(*) FILTER (part <= round) AS BIGINT) AS added, CAST(0 AS BIGINT) AS misses FROM p, r GROUP BY round")
+    if want == 0:
+        return -1 if low is None else low - 1
+    while low < high:
+        width = (high - low) // cells + 1
+        counts = pairs.where(F.col("key").between(low, high)).groupBy(F.expr(f"(key - ({low})) div {width}").alias("cell")).agg(F.count("*").alias("n")).collect()
+        for cell, here in sorted(counts):
+            if want <= here:
+                break
+            want -= here
+        low = low + cell * width
+        high = min(high, low + width - 1)
+    return low
+
+
+def _sawtooth_sql(rounds: int) -> str:
+    """Every round's table by multiset difference and union of the one before."""
+    tables = ["p AS (SELECT key, val, key % 8 AS part, -1 - key AS fresh FROM pairs)", "t0 AS (SELECT key, val FROM pairs)"]
+    for i in range(rounds):
+        tables.append(f"t{i + 1} AS ((SELECT * FROM t{i} EXCEPT ALL SELECT key, val FROM p WHERE part = {i}) UNION ALL SELECT fresh, val FROM p WHERE part = {i})")
+        tables.append(f"asked{i} AS (SELECT CASE WHEN part > {i} THEN key ELSE fresh END AS key FROM p)")
+    parts = [_step(f"CAST({i} AS BIGINT) AS round, count(*) FILTER (key >= 0) AS old_left, count(*) FILTER (key < 0) AS added", f"t{i + 1}", f"asked{i}") for i in range(rounds)]
+    return f"WITH {PAIRS}, {', '.join(tables)} {' UNION ALL '.join(parts)}"
+
+
+@query(_sawtooth_sql(6))
 def filter_sawtooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each round deletes one part and adds a new one; what should be there is looked up."""
     pairs = _pairs(spark, sf_dir)

@@ -73,6 +73,36 @@ def _unsigned_quick(v: str) -> str:
     return ", ".join(out) + f", hashed AS (SELECT * FROM q{n})"
 
 
+WRAP = "18446744073709551616::UHUGEINT"
+
+
+def _times(a: str, b: int) -> str:
+    return f"(({a} * {b}::UHUGEINT) % {WRAP})"
+
+
+def _rows_with(source: str, steps: list[tuple[str, str]]) -> str:
+    """CTEs that add a column at a time to the rows of ``source``; the last one is ``hashed``."""
+    names = [source, *[f"{source}_{i}" for i in range(1, len(steps))], "hashed"]
+    return ", ".join(f"{new} AS (SELECT *, ({e})::UHUGEINT AS {column} FROM {old})" for old, new, (column, e) in zip(names[:-1], names[1:], steps, strict=True))
+
+
+def _murmur3_steps(x: str, out: str) -> list[tuple[str, str]]:
+    """The low half of the 128-bit x64 variant over one word, seed 313."""
+    steps = [("a", _times(f"{x}::UHUGEINT", 0x87C37B91114253D5)), ("b", _times(f"((a * {2**31}::UHUGEINT) % {WRAP} + a // {2**33}::UHUGEINT)", 0x4CF5AD432745937F))]
+    steps += [("c", f"(xor(xor({313}::UHUGEINT, b), 8::UHUGEINT) + {313 ^ 8}::UHUGEINT) % {WRAP}"), ("d", f"(c + {313 ^ 8}::UHUGEINT) % {WRAP}")]
+    for h in "cd":
+        steps += [(h + "1", _times(f"xor({h}, {h} // {2**33}::UHUGEINT)", 0xFF51AFD7ED558CCD)), (h + "2", _times(f"xor({h}1, {h}1 // {2**33}::UHUGEINT)", 0xC4CEB9FE1A85EC53))]
+    return [*steps, (out, f"(xor(c2, c2 // {2**33}::UHUGEINT) + xor(d2, d2 // {2**33}::UHUGEINT)) % {WRAP}")]
+
+
+def _murmur2_steps(x: str, seed: int, out: str) -> list[tuple[str, str]]:
+    """The 64-bit A variant over one word."""
+    m, r = 0xC6A4A7935BD1E995, f"{2**47}::UHUGEINT"
+    start = seed ^ (8 * m % 2**64)
+    steps = [("e", _times(f"{x}::UHUGEINT", m)), ("f", _times(f"xor(e, e // {r})", m)), ("g", _times(f"xor({start}::UHUGEINT, f)", m)), ("h", _times(f"xor(g, g // {r})", m))]
+    return [*steps, (out, f"xor(h, h // {r})")]
+
+
 def _left_aligned(of: str, m: int) -> str:
     code = f"list_reduce(list_transform(range(1, {m + 1}), lambda i: (instr('ACGT', substr({of}, i, 1)) - 1)::UHUGEINT), lambda a, b: a * 4 + b)"
     return f"(({code}) * {4 ** (32 - m)}::UHUGEINT)"
@@ -209,14 +239,14 @@ def minimizer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("minimizer", hashes.minimizer_hash("minimizer").cast("string").alias("hash"), "n")
 
 
-@query()
+@query(f"WITH {READS}, {POSITIONS}, {OCC}, words AS (SELECT kmer, {_left_aligned('kmer', K)} AS x FROM (SELECT DISTINCT kmer FROM occ)), {_rows_with('words', _murmur3_steps('x', 'v'))} SELECT kmer, CAST(v AS VARCHAR) AS hash FROM hashed")
 def kmer_slot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slot hash of each distinct k-mer; SQL has no such hash, tests hold it against published values."""
+    """Slot hash of each distinct k-mer; tests hold it against published values too."""
     d = kmers.interior_kmers(source.text_reads(spark, sf_dir), K).select("kmer").distinct()
     return d.select("kmer", hashes.kmer_hash(1)("kmer").cast("string").alias("hash"))
 
 
-@query()
+@query(f"WITH orders_ AS (SELECT CAST(o_orderkey AS BIGINT) AS key FROM orders), {_rows_with('orders_', _murmur2_steps('key', 42, 'seeded') + _murmur3_steps('key', 'seedless'))} SELECT key, CAST(seeded AS VARCHAR) AS seeded, CAST(seedless AS VARCHAR) AS seedless FROM hashed")
 def filter_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both filter hashes of each order key."""
     o = source.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("key"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import hashes, sequence, slots
 from strandlake.operators import counting, keyvalue, kmers
+from strandlake.plans import keyvalue_queries
 from strandlake.sources import keys
 from strandlake.sources import reads as source
 from strandlake.sources import sinks
@@ -269,6 +270,39 @@ def test_keyed_tables(spark):
     assert all(r.kept <= 128 and 60 < r.first_refused < 200 for r in full)
 
 
+def test_bounded_filter_against_a_loop(spark):
+    def murmur(key, seed, m=0xC6A4A7935BD1E995, whole=2**64):
+        k = key * m % whole
+        k = (k ^ (k >> 47)) * m % whole
+        h = (seed ^ (8 * m % whole) ^ k) * m % whole
+        h = (h ^ (h >> 47)) * m % whole
+        return h ^ (h >> 47)
+
+    shards, buckets, size, bits = 3, 16, 8, 10
+    placed = spark.range(700).selectExpr("id", f"cast(pmod(xxhash64(id), {shards}) as int) as shard").orderBy("id").collect()
+    want = {s: [0, 0, -1, [0] * buckets] for s in range(shards)}
+    for key, shard in placed:
+        h, state = murmur(key, 1), want[shard]
+        first, second = (h >> bits) % buckets, ((h >> bits) ^ ((h & 1023) * 0x5BD1E995 % 2**64)) % buckets
+        at = second if state[3][first] >= size * 3 / 4 and state[3][second] < state[3][first] else first
+        if state[3][at] < size:
+            state[3][at] += 1
+            state[1] += 1
+        elif state[2] < 0:
+            state[2] = state[0]
+        state[0] += 1
+    got = keyvalue.bounded_filter(spark.range(700).selectExpr("id as key", "id as seq"), buckets, size, bits, shards).collect()
+    assert {r.shard: [r.tried, r.kept, r.first_refused] for r in got} == {s: x[:3] for s, x in want.items()}
+
+
+def test_median_key(spark):
+    for n, step in [(0, 1), (1, 1), (2, 1), (3, 5), (101, 1), (5000, 977)]:
+        keys_ = [i * step - 40 for i in range(n)]
+        pairs = spark.createDataFrame([(k, 0) for k in keys_], "key long, val long")
+        cut = keyvalue_queries._median_key(pairs, cells=4)
+        assert [k for k in keys_ if k <= cut] == keys_[: n // 2]
+
+
 def test_slots(spark):
     slot = spark.range(1).select(slots.pack_slot(F.lit(1023), F.lit(65), 6).alias("s"))
     r = slot.select(slots.slot_tag(F.col("s"), 6), slots.slot_value(F.col("s"), 6), slots.is_tombstone(F.col("s"), 10, 6), slots.is_empty(F.col("s"), 6)).first()
