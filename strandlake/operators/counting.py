@@ -64,6 +64,12 @@ def unique_both_ways(calls: DataFrame, least: int = 2, cap: int = 65_535) -> Dat
     return calls.where(~F.col("left").isin("X", "F") & ~F.col("right").isin("X", "F") & (F.col("count") >= least)).withColumn("count", F.least("count", F.lit(cap).cast("long")))
 
 
+def target_report(placed: DataFrame, supermers: DataFrame) -> DataFrame:
+    """Per target: different k-mers, their total count, supermers received. placed: kmer, cnt, target; a row for each target meets."""
+    held = placed.groupBy("target").agg(F.count("*").alias("kmers"), F.sum("cnt").alias("total"))
+    return held.join(supermers.groupBy("target").agg(F.count("*").alias("supermers")), "target", "full_outer")
+
+
 def from_contigs(kmers: DataFrame) -> DataFrame:
     """Contig k-mers: the least depth as count, votes weighted by depth. Rows carry ``depth``."""
     return kmers.groupBy("kmer").agg(F.min("depth").alias("cnt"), *votes(F.col("depth")))

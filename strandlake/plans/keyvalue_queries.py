@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import slots
+from ..operators import filters
 from ..operators import keyvalue as kv
 from ..sources import keys
 from ..sources.reads import table
@@ -206,6 +207,38 @@ def first_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.bounded_filter(p, buckets=64, bucket_size=8, tag_bits=10, shards=8)
 
 
+def _replay_size(events: DataFrame, load: float = 0.5, shard_keys: int = 1 << 16) -> tuple[int, int]:
+    """(shards, buckets of 16 slots in each) for the keys of the events: both follow the input."""
+    keys_ = events.select("key").distinct().count()
+    shards = max(8, -(-keys_ // shard_keys))
+    return shards, max(64, int(keys_ / shards / load / 16) + 1)
+
+
+@query(f"""WITH {EVENTS}, n AS (SELECT key, seq, row_number() OVER w AS n, lag(seq) OVER w AS before FROM ev WINDOW w AS (PARTITION BY key ORDER BY seq))
+SELECT key, seq, true AS done, n % 2 = 0 AS found, CASE WHEN n % 2 = 0 THEN before END AS got FROM n""")
+def filter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toggles of users in tables of bounded size that keep whole keys: nothing is refused, lost or taken for another."""
+    e = _events(spark, sf_dir).select("key", "seq", F.lit("toggle").alias("op"), F.col("seq").alias("val"))
+    shards, buckets = _replay_size(e)
+    return filters.replayed(e, filters.Shape(buckets, choose="first", tag_bits=0), shards).drop("op")
+
+
+@query()
+def filter_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all orders, remove the odd ones, look all up: outcomes of each way to choose a bucket, at a load of nine tenths."""
+    p = _pairs(spark, sf_dir).withColumn("odd", F.col("key") % 2 == 1)
+    step = lambda n, op, rows: rows.select("key", (F.col("key") * 4 + (n << 58)).alias("seq"), F.lit(op).alias("op"), F.col("val").bitwiseAND(63).alias("val"))
+    events = step(0, "insert", p).unionByName(step(1, "remove", p.where("odd"))).unionByName(step(2, "query", p))
+    shards, buckets = _replay_size(p, 0.9)
+    out = None
+    for choose in ("shortcut", "least", "first"):
+        for backing in (0, max(1, buckets // 9)):
+            shape = filters.Shape(buckets, choose=choose, backing=backing)
+            rows = filters.outcomes(filters.replayed(events, shape, shards)).select(F.lit(choose).alias("choose"), F.lit(backing > 0).alias("backed"), "op", "events", "done", "found")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 DHT = "d AS (SELECT CAST(c_custkey % 8 AS INTEGER) AS rank, CAST(c_custkey // 8 AS BIGINT) AS i, CAST(c_custkey % 8 AS VARCHAR) || ':' || CAST(c_custkey // 8 AS VARCHAR) AS key FROM customer)"
 
 

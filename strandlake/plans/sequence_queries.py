@@ -160,6 +160,22 @@ def simulated_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.counted(kmers.canonical_kmers(_simulated(spark, sf_dir), K)).where("cnt >= 2")
 
 
+RANK_READS = f"""genome AS (SELECT string_agg(translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY p_partkey) AS g FROM part),
+size AS (SELECT (SELECT length(g) FROM genome) AS len, (SELECT count(*) FROM orders) AS n),
+parts AS (SELECT t AS target, t * (len // {TARGETS}) + least(t, len % {TARGETS}) AS first_, len // {TARGETS} + (t < len % {TARGETS})::BIGINT AS portion, t * (n // {TARGETS}) + least(t, n % {TARGETS}) AS id, n // {TARGETS} + (t < n % {TARGETS})::BIGINT AS quota FROM size, (SELECT unnest(range(0, {TARGETS})) AS t)),
+numbered AS (SELECT *, id + unnest(range(0, quota)) AS read_id FROM parts),
+starts AS (SELECT read_id, target, first_ + ('0x' || substr(md5(target || ':' || read_id), 1, 12))::BIGINT % (portion - {READ_LENGTH} + 1) AS start FROM numbered)"""
+
+
+@query(f"WITH {RANK_READS} SELECT read_id, CAST(target AS INTEGER) AS target, CAST(start AS BIGINT) AS start, substr(g, CAST(start + 1 AS BIGINT), {READ_LENGTH}) AS seq FROM starts, genome")
+def simulated_rank_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many reads as there are orders, each target's quota from within its own part of the genome."""
+    chunks = source.genome_chunks(spark, sf_dir)
+    starts = source.rank_starts(spark, 32 * chunks.count(), source.table(spark, sf_dir, "orders").count(), READ_LENGTH, TARGETS)
+    cut = source.cut_reads(chunks, starts.select(F.struct("read_id", "target").alias("read_id"), "start"), READ_LENGTH)
+    return cut.select("read_id.read_id", "read_id.target", "start", "seq")
+
+
 # --- scalar functions
 @query(f"WITH {READS}, {POSITIONS}, {OCC}, d AS (SELECT DISTINCT kmer FROM occ) SELECT kmer, list_reduce(list_transform(range(1, {K + 1}), lambda i: (instr('ACGT', substr(kmer, i, 1)) - 1)::BIGINT), lambda a, b: a * 4 + b) AS code FROM d")
 def encode_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,6 +426,13 @@ def rank_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed_counts(spark, sf_dir).groupBy("target").agg(F.count("*").alias("kmers"), F.sum("cnt").alias("total"))
 
 
+@query(PLACED_COUNTS + ISLANDS + ", c AS (SELECT target, count(*) AS kmers, CAST(sum(cnt) AS BIGINT) AS total FROM counts GROUP BY target), s AS (SELECT target, count(*) AS supermers FROM supers GROUP BY target) SELECT * FROM c JOIN s USING (target)")
+def rank_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target's k-mers, their total count and the supermers inserted there."""
+    runs = kmers.supermers(source.text_reads(spark, sf_dir), K, TARGETS, M)
+    return counting.target_report(_placed_counts(spark, sf_dir), runs)
+
+
 @query(PLACED_COUNTS + ", m AS (SELECT target, max(cnt) AS most FROM counts GROUP BY target) SELECT avg(most) AS threshold FROM m")
 def high_count_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean over targets of the largest count."""

@@ -94,3 +94,33 @@ def fastq_like(df: DataFrame, seq_col: str, quality_col: str, least: int = 20, o
     """Lower-cases bases whose Phred quality is below ``least``."""
     pairs = F.zip_with(F.split(seq_col, ""), F.split(quality_col, ""), lambda b, q: F.when(F.ascii(q) - offset < least, F.lower(b)).otherwise(b))
     return df.withColumn(seq_col, F.array_join(pairs, ""))
+
+
+def chunked(lines: DataFrame, chunk_length: int = 32) -> DataFrame:
+    """The genome of ``read_genome`` in numbered chunks of equal length (the last may be shorter), as ``cut_reads`` takes it.
+
+    A line gives each chunk that it touches its piece; a chunk gathers the pieces of its own length only.
+    """
+    size, end = F.lit(chunk_length).cast("long"), F.col("offset") + F.length("bases")
+    touched = lines.where(F.length("bases") > 0).select("offset", "bases", F.explode(F.sequence(F.expr(f"offset div {chunk_length}"), F.floor((end - 1) / chunk_length))).alias("chunk"))
+    first = F.greatest(F.col("offset"), F.col("chunk") * size)
+    last = F.least(end, (F.col("chunk") + 1) * size)
+    pieces = touched.select("chunk", first.alias("at"), F.substring("bases", (first - F.col("offset") + 1).cast("int"), (last - first).cast("int")).alias("piece"))
+    joined = F.array_join(F.sort_array(F.collect_list(F.struct("at", "piece")))["piece"], "")
+    return pieces.groupBy("chunk").agg(joined.alias("bases"))
+
+
+def rank_starts(spark: SparkSession, genome_length: int, n_reads: int, read_length: int, targets: int) -> DataFrame:
+    """(read_id, target, start): reads numbered through, each target's quota starting within its own part of the genome.
+
+    The place comes from a digest of target and number, so a read is the same on every run and in any engine that has md5.
+    """
+    if n_reads and genome_length // targets < read_length:
+        raise ValueError("a read is longer than a target's part of the genome")
+    each, over = divmod(n_reads, targets)
+    edge, i = over * (each + 1), F.col("id")
+    target = F.when(i < edge, F.expr(f"id div {each + 1}")).otherwise(F.lit(over) + F.expr(f"(id - {edge}) div {max(each, 1)}"))
+    start, portion = share_of(F.lit(genome_length), F.lit(targets), F.col("target"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("target").cast("string"), F.col("read_id").cast("string"))), 1, 12), 16, 10).cast("long")
+    numbered = spark.range(n_reads).select(i.alias("read_id"), target.cast("int").alias("target"))
+    return numbered.select("read_id", "target", (start + digest % (portion - read_length + 1)).cast("long").alias("start"))
