@@ -27,7 +27,11 @@ def trim() -> None:
 
 
 def rows(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[list, pa.Array]]:
-    """(ids, texts) of about chunk_bytes, or of one longer text; a null text is empty."""
+    """(ids, texts) of about chunk_bytes, or of one longer text; a null text is empty.
+
+    What the worker's last task and each chunk freed goes back to the system.
+    """
+    trim()
     for batch in batches:
         ids = batch.column(0).to_pylist()
         texts = pc.fill_null(batch.column(1), "")
@@ -36,6 +40,7 @@ def rows(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> I
             if size and size + n > chunk_bytes:
                 yield ids[start:i], texts.slice(start, i - start)
                 start, size = i, 0
+                trim()
             size += int(n)
         if start < len(ids):
             yield ids[start:], texts.slice(start)
