@@ -395,14 +395,14 @@ def ext_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{COUNTS}, {CALLS} SELECT kmer, least(count, 65535) AS count, \"left\", \"right\" FROM calls WHERE \"left\" NOT IN ('X', 'F') AND \"right\" NOT IN ('X', 'F')")
 def kmer_uu_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: canonical k-mers seen twice or more with one clear neighbour on either side."""
-    counts = counting.saturated(counting.counted(kmers.canonical_kmers(source.text_reads(spark, sf_dir), K)))
+    counts = counting.counted(kmers.canonical_kmers(source.text_reads(spark, sf_dir), K))  # calls are made on whole votes: capped ones fall short of a share of a count that goes on
     return counting.unique_both_ways(counting.called(counting.purged(counts)))
 
 
 @query(f"WITH {DIRTY}, {POSITIONS}, {RAW}, {MASKED}, {RC}, {CANON}, counts AS (SELECT kmer, count(*) AS cnt, {_votes()} FROM canon GROUP BY kmer), {CALLS} SELECT kmer, least(count, 65535) AS count, \"left\", \"right\" FROM calls WHERE \"left\" NOT IN ('X', 'F') AND \"right\" NOT IN ('X', 'F')")
 def kmer_uu_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of reads with N and quality."""
-    counts = counting.saturated(counting.counted(kmers.masked_kmers(source.dirty_reads(spark, sf_dir), K)))
+    counts = counting.counted(kmers.masked_kmers(source.dirty_reads(spark, sf_dir), K))
     return counting.unique_both_ways(counting.called(counting.purged(counts)))
 
 

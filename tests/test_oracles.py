@@ -67,6 +67,15 @@ def test_same_rows_of_dirty_reads(spark, dirty, name):
     assert sum(same_rows(spark, views(dirty), name, dirty).values()) > 100
 
 
+@pytest.mark.parametrize("name", ["kmer_uu_table", "kmer_uu_masked"])
+def test_very_common_kmer(spark, tmp_path, name):
+    """A k-mer seen over 655,350 times: a tenth of its count is more than a vote cap of 65,535 leaves."""
+    texts = ["A" * 1024] * 660 + ["C" + "ACGGT" * 30] * 3
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), f"{tmp_path}/documents.parquet")
+    rows = same_rows(spark, views(tmp_path), name, str(tmp_path))
+    assert any(65_535 in r and "A" * 21 in r for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_others_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
